@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import binary_ids, packing, tokens, url_filter
+from kinweave.llm import binary_ids, ngram_jaccard, packing, tokens, url_filter
 from kinweave.llm.storage import table
 
 QUERIES: dict = {}
@@ -19,6 +19,11 @@ def query(f):
     return f
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_groups(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path())
