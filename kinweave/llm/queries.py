@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import binary_ids, ngram_jaccard, packing, tokens, url_filter
+from kinweave.llm import binary_ids, ngram_jaccard, packing, tokens, url_filter, vector_dedup
 from kinweave.llm.storage import table
 
 QUERIES: dict = {}
@@ -45,6 +45,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_groups(spark, table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = binary_ids.write_ids(spark, table(spark, sf_dir, "documents"), tokens.default_path())
