@@ -79,6 +79,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: i
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
+        total = np.zeros(tokens.size, dtype=np.int64)
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 ids = [np.append(x, x.dtype.type(end_id)) for x in tokens.encode_all(texts)]
@@ -86,9 +87,13 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: i
                 marks = [zlib.crc32((x or "").encode()) for x in texts]
                 keys = [_LEAST if x is None else x for x in names.to_pylist()]
                 to = [(a := bisect_left(bounds, k)) + (m * (bisect_right(bounds, k) - a + 1) >> 32) for k, m in zip(keys, marks, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), names.cast(pa.int64()), pa.array(marks, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["range", "doc_id", "mark", "ids"])
+                total += np.bincount(np.concatenate(ids), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), names.cast(pa.int64()), pa.array(marks, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(to), pa.binary())], schema=_IDS)
+        if (at := np.flatnonzero(total)).size:  # the task's counts travel with its ids, in a column of their own
+            sums = np.stack([at, total[at]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((TaskContext.get().partitionId() % width, None, None, None, sums), _IDS, strict=True)], schema=_IDS)
 
-    found = docs.mapInArrow(tokenise, "range int, doc_id long, mark long, ids binary")
+    found = docs.mapInArrow(tokenise, _IDS_DDL)
     sorted_ids, sorted_at = scratch.write(found.repartition(width, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "mark"), "ids")
     del found
     gc.collect()
@@ -97,15 +102,13 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: i
     kind = encoder(tokenizer).dtype
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), dtype=kind), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+                at, n = np.frombuffer(x.as_py(), dtype="<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["id", "n"])
 
     counts = np.zeros(size, dtype=np.int64)  # at most one row for each id of the vocabulary comes here
-    for row in sorted_ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in sorted_ids.select("counts").where("counts is not null").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["id"]] = row["n"]
     lengths = code_lengths(counts)
     sent = spark.sparkContext.broadcast(lengths.tobytes())  # one byte for each id of the vocabulary
@@ -139,18 +142,28 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: i
         if held:
             yield flush()
 
-    _, blocks = scratch.write(sorted_ids.mapInArrow(encode, _BLOCKS_DDL), "blocks")
+    _, blocks = scratch.write(sorted_ids.where("ids is not null").select("range", "doc_id", "mark", "ids").mapInArrow(encode, _BLOCKS_DDL), "blocks")
     _, book = scratch.write(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"), "codebook")
     scratch.drop(sorted_at)
     return IdFiles(blocks, book)
 
 
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")])
+
+
+_IDS_DDL = "range int, doc_id long, mark long, ids binary, counts binary"
+_IDS = _arrow(_IDS_DDL)
 _BLOCKS_DDL = "range int, task int, block int, first_id long, first_mark long, within long, n_ids long, data binary"
-_BLOCKS = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in _BLOCKS_DDL.split(", ")])
+_BLOCKS = _arrow(_BLOCKS_DDL)
+
 
+def read_ids(spark: SparkSession, files: IdFiles, *, digest: bool = False) -> DataFrame:
+    """One row for each document of the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit).
 
-def read_ids(spark: SparkSession, files: IdFiles) -> DataFrame:
-    """One row for each document of the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
+    With ``digest``, ids_crc32 of those bytes stands in place of ids.
+    """
     blocks = spark.read.schema(_BLOCKS_DDL).parquet(files.blocks)
     lengths = bytes(spark.read.parquet(files.codebook).first()["lengths"])
     runs = blocks.groupBy("range", "task").agg(F.min(F.struct(F.coalesce("first_id", F.lit(_LEAST)), "first_mark", "block")).alias("first"), F.sum("n_ids").alias("n")).orderBy("range", "first").collect()  # one row for each range and write task
@@ -167,6 +180,7 @@ def read_ids(spark: SparkSession, files: IdFiles) -> DataFrame:
                 names, ids = read_block(code, data.as_py())
                 lens = [len(x) for x in ids]
                 begins = starts[to.as_py(), task.as_py()] + within.as_py() + np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(begins, pa.int64()), pa.array(lens, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(begins, pa.int64()), pa.array(lens, pa.int64()), last([x.astype("<u4") for x in ids])], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return blocks.select("range", "task", "within", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    last = (lambda ids: pa.array([zlib.crc32(x) for x in ids], pa.int64())) if digest else (lambda ids: pa.array([x.tobytes() for x in ids], pa.binary()))
+    return blocks.select("range", "task", "within", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinweave.llm import binary_ids, ngram_jaccard, packing, tokens, url_filter, vector_dedup
 from kinweave.llm.storage import table
@@ -53,5 +50,4 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = binary_ids.write_ids(spark, table(spark, sf_dir, "documents"), tokens.default_path())
-    crc = F.pandas_udf(lambda x: x.map(zlib.crc32).astype("int64"), "long", F.PandasUDFType.SCALAR)
-    return binary_ids.read_ids(spark, files).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return binary_ids.read_ids(spark, files, digest=True)
