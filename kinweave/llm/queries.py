@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinweave.llm import binary_ids, ngram_jaccard, packing, tokens, url_filter, vector_dedup
+from kinweave.llm import binary_ids, line_dedup, ngram_jaccard, packing, tokens, url_filter, vector_dedup
 from kinweave.llm.storage import table
 
 QUERIES: dict = {}
@@ -26,6 +27,46 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+ORACLES["op5_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, text, line, ln FROM (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
+    FROM documents WHERE text IS NOT NULL)
+), parts AS (
+  SELECT doc_id, text, ln, CASE WHEN len(string_split(line, ' ')) > 40
+    THEN string_split(regexp_replace(line, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) ELSE [line] END AS ps
+  FROM lines
+), segs AS (
+  SELECT doc_id, text, s, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) AS pos
+  FROM (SELECT doc_id, text, ln, unnest(ps) AS s, generate_subscripts(ps, 1) AS k FROM parts)
+), wins AS (
+  SELECT doc_id, pos, s || chr(10) || lead(s) OVER w || chr(10) || lead(s, 2) OVER w AS win,
+    len(string_split(s, ' ')) + len(string_split(lead(s) OVER w, ' ')) + len(string_split(lead(s, 2) OVER w, ' ')) AS words
+  FROM segs WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS rn FROM wins WHERE win IS NOT NULL AND words >= 10)
+  WHERE rn > 1
+), covered AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM later, (VALUES (0), (1), (2)) AS t(k)
+), kept AS (
+  SELECT s.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
+    coalesce(string_agg(s.s, chr(10) ORDER BY s.pos) FILTER (WHERE c.pos IS NULL), '') AS rest, any_value(s.text) AS text
+  FROM segs s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.pos = c.pos GROUP BY s.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  length(CASE WHEN n_removed > 0 THEN rest ELSE d.text END) AS kept_chars,
+  md5(CASE WHEN n_removed > 0 THEN rest ELSE d.text END) AS kept_md5
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 #: The rules of the query's contract.
 URL_RULES = (
     url_filter.host_rule("allow", "com", "/"),
