@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import binary_ids, line_dedup, ngram_jaccard, packing, tokens, url_filter, vector_dedup
+from kinweave.llm import binary_ids, decontamination, line_dedup, ngram_jaccard, packing, tokens, url_filter, vector_dedup
 from kinweave.llm.storage import table
 
 QUERIES: dict = {}
@@ -83,6 +83,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_passages(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_distinct(F.sort_array(F.transform("hits", lambda x: x["item_id"])))
+    return found.select(
+        "doc_id",
+        F.size("hits").cast("long").alias("n_hits"),
+        (F.size("hits") > 0).alias("contaminated"),
+        F.array_join(items.cast("array<string>"), ",").alias("item_ids"),
+        F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["words"]).alias("n_words"),
+        F.array_join(F.transform(F.sort_array("hits"), lambda x: F.concat_ws(":", x["item_id"], x["start"], x["words"], x["equal"])), ",").alias("spans"),
+    )
+
+
 @query
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_groups(spark, table(spark, sf_dir, "embeddings"))

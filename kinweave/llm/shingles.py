@@ -12,6 +12,7 @@ import xxhash
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_OTHER = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([i]), 11) for i in range(256)], dtype=_U)
@@ -36,17 +37,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the first byte of every word."""
+def word_hashes(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the first byte of every word; ``between`` marks the bytes that part words."""
     hashes, firsts, at = [], [], 0
     raw = np.frombuffer(data, dtype=np.uint8)
     while at < len(raw):
         end = min(len(raw), at + _CHUNK)
-        while end < len(raw) and not _SPACE[raw[end - 1]]:
-            more = np.flatnonzero(_SPACE[raw[end : end + _CHUNK]])
+        while end < len(raw) and not between[raw[end - 1]]:
+            more = np.flatnonzero(between[raw[end : end + _CHUNK]])
             end = end + int(more[0]) + 1 if len(more) else min(len(raw), end + _CHUNK)
         part = raw[at:end]
-        space = _SPACE[part]
+        space = between[part]
         begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
         ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
         if len(ends) < len(begins):
@@ -62,10 +63,15 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(firsts)
 
 
-def texts_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts one after another, and the index at which each text's begin (and the end)."""
+def texts_words(texts: list[str | None], *, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after another, and the index at which each text's begin (and the end).
+
+    With ``letters``, words are runs of letters and digits of any script, without regard to case.
+    """
+    if letters:
+        texts = [(x or "").lower() for x in texts]
     coded = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-    hashes, firsts = word_hashes(b"\n".join(coded))
+    hashes, firsts = word_hashes(b"\n".join(coded), _OTHER if letters else _SPACE)
     sizes = np.array([len(x) + 1 for x in coded], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     return hashes, np.searchsorted(firsts, begins)
