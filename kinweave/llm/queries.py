@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import binary_ids, decontamination, line_dedup, ngram_jaccard, packing, tokens, url_filter, vector_dedup
+from kinweave.llm import binary_ids, decontamination, line_dedup, ngram_jaccard, packing, quality, tokens, url_filter, vector_dedup
 from kinweave.llm.storage import table
 
 QUERIES: dict = {}
@@ -27,6 +27,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "score", "content_score", "meta_score", "kept")
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
