@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import binary_ids, decontamination, line_dedup, ngram_jaccard, packing, quality, tokens, url_filter, vector_dedup
+from kinweave.llm import binary_ids, decontamination, line_dedup, ngram_jaccard, packing, pii, quality, tokens, url_filter, vector_dedup
 from kinweave.llm.storage import table
 
 QUERIES: dict = {}
@@ -89,6 +89,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_of_documents(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_passages(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
