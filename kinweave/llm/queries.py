@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import binary_ids, decontamination, line_dedup, ngram_jaccard, packing, pii, quality, tokens, url_filter, vector_dedup
+from kinweave.llm import binary_ids, decontamination, license_scan, line_dedup, ngram_jaccard, packing, pii, quality, tokens, url_filter, vector_dedup
 from kinweave.llm.storage import table
 
 QUERIES: dict = {}
@@ -17,6 +17,19 @@ def query(f):
     return f
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = F.transform("licences", lambda x: F.concat_ws(":", x["licence"], x["start"], x["end"]))
+    return found.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["licence"]))), ",").alias("licences"),
+        F.array_max(F.transform("licences", lambda x: x["dice"])).alias("best_dice"),
+        F.array_join(said, ",").alias("spans"),
+    )
+
+
 @query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_groups(spark, table(spark, sf_dir, "documents"))
