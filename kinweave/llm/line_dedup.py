@@ -76,14 +76,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, least_words: int = LEAS
     found, found_at = scratch.write(every, "windows")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("name", "mark", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     first, first_at = scratch.write(first, "repeated")
-    later = found.join(first, ["h1", "h2"]).where(F.struct("name", "mark", "place") != F.col("first"))
+    # merge joins at every size: what is shuffled then grows as the input does, and Spark can split hot windows
+    later = found.join(first.hint("merge"), ["h1", "h2"]).where(F.struct("name", "mark", "place") != F.col("first"))
     later, _ = scratch.write(later.groupBy("name", "mark").agg(F.sort_array(F.collect_set("place")).alias("places")), "later")
     scratch.drop(found_at)
     scratch.drop(first_at)
 
     fields = [x for x in docs.schema.fields if x.name not in ("text", "n_lines", "n_removed")]
     keyed = docs.select(*docs.columns).withColumns({"__name": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "__mark": F.crc32(F.encode("text", "UTF-8"))})
-    joined = keyed.join(later.withColumnsRenamed({"name": "__name", "mark": "__mark"}), ["__name", "__mark"], "left")
+    joined = keyed.join(later.withColumnsRenamed({"name": "__name", "mark": "__mark"}).hint("merge"), ["__name", "__mark"], "left")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
