@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.text import message, strip
 from kinweave.operators.filters import filter_extraction
+from kinweave.operators.upserts import first_by
 from kinweave.schemas import EXTRACTION_DDL
 
 PEOPLE_RULES = (
@@ -95,22 +96,36 @@ def parse_extraction(raw: Column | str) -> Column:
     return F.when(got.isNotNull() & json_in(raw).isNotNull(), F.struct(people.alias("people"), edges.alias("relationships")))
 
 
-def extract_raw(chunks: DataFrame, client: Client) -> DataFrame:
-    """Chunks (article_id, chunk_idx, message) with raw answers; a client's exception becomes error."""
+def extract_raw(chunks: DataFrame, client: Client, *, stop: bool = False) -> DataFrame:
+    """Chunks (article_id, chunk_idx, message) with raw answers; a client's exception becomes error.
+
+    With ``stop``, an article's chunks are asked in order by one task, and none after its first error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed: set[str] = set()
         for rows in batches:
-            raw, errors = [], []
-            for user in rows["message"]:
+            rows = rows[~rows["article_id"].isin(failed)]
+            raw, errors, asked = [], [], []
+            for article, user in zip(rows["article_id"], rows["message"], strict=True):
+                asked.append(article not in failed)
+                if not asked[-1]:
+                    continue
                 try:
                     raw.append(client.complete(PEOPLE_RULES, user, EXTRACTION_DDL))
                     errors.append(None)
                 except Exception as e:  # any failure is that chunk's error
                     raw.append(None)
                     errors.append(str(e) or type(e).__name__)
+                    if stop:
+                        failed.add(article)
+            rows = rows[asked]
             yield pd.DataFrame({"article_id": rows["article_id"], "chunk_idx": rows["chunk_idx"], "raw": raw, "error": errors})
 
-    return chunks.select("article_id", "chunk_idx", "message").mapInPandas(run, "article_id string, chunk_idx int, raw string, error string")
+    chunks = chunks.select("article_id", "chunk_idx", "message")
+    if stop:
+        chunks = chunks.sortWithinPartitions("article_id", "chunk_idx")  # the caller has put an article's chunks together
+    return chunks.mapInPandas(run, "article_id string, chunk_idx int, raw string, error string")
 
 
 def _key(*xs: Column) -> Column:
@@ -129,8 +144,6 @@ def merge_lists(people: Column, relationships: Column) -> tuple[Column, Column]:
 
 def merge_first_wins(rows: DataFrame, group: list[str], key: Column, order: list[str]) -> DataFrame:
     """The first row of each group and key by ``order``: merging over rows."""
-    from kinweave.operators.upserts import first_by
-
     return first_by(rows.withColumn("__key", key), [*group, "__key"], list(order)).drop("__key")
 
 
@@ -141,9 +154,9 @@ def messages(articles: DataFrame) -> DataFrame:
     return rows.select("article_id", "chunk_idx", message(F.col("title"), F.col("author"), F.col("url"), F.col("chunk"), F.col("chunk_idx"), F.col("total")).alias("message"))
 
 
-def extract_chunks(chunks: DataFrame, client: Client) -> DataFrame:
+def extract_chunks(chunks: DataFrame, client: Client, *, stop: bool = False) -> DataFrame:
     """Per chunk: article_id, chunk_idx, people, relationships, dropped lists, error."""
-    got = extract_raw(chunks, client).withColumn("x", parse_extraction("raw"))
+    got = extract_raw(chunks, client, stop=stop).withColumn("x", parse_extraction("raw"))
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("x").isNull(), F.lit("no JSON object in the answer"))
     people, edges = merge_lists(F.col("x.people"), F.col("x.relationships"))
     none_p, none_e = (F.from_json(F.lit("[]"), t.split(" ", 1)[1]) for t in (EXTRACTION_DDL.split(", relationships")[0], "relationships" + EXTRACTION_DDL.split(", relationships")[1]))

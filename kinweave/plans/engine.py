@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.config import Settings, between, settings
+from kinweave.functions.text import message
 from kinweave.operators import reads
-from kinweave.operators.extract import Client, RuleClient, extract_chunks, messages
+from kinweave.operators.extract import Client, RuleClient, extract_chunks
 from kinweave.operators.filters import of_sources
 from kinweave.operators.resolve_state import Chooser
 from kinweave.plans.incremental import apply_extractions, pending_chunks, plan_work
 from kinweave.plans.store import Store
+from kinweave.schemas import CHUNK_EXTRACTION
 from kinweave.sources.html import parse_articles, parse_listings
 from kinweave.sources.registry import Registry, fetch_politely, listing_urls
 
@@ -31,9 +33,12 @@ class Engine:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def process(self, articles: DataFrame, *, sentences_per_chunk: int | None = None, batch: tuple[str, int] | None = None, strict: bool = False) -> DataFrame:
+    def process(self, articles: DataFrame, *, sentences_per_chunk: int | None = None, batch: tuple[str, int] | None = None, max_parallel: int | None = None, strict: bool = False) -> DataFrame:
         """Processes articles (url, title, author, published_at, body_text, source) and commits once; a summary for each url.
 
+        ``max_parallel`` bounds the tasks that ask the client, by default as configured; 0 asks as widely
+        as the cluster shuffles, for bulk loads.
+
         Extractions are kept in the store by article, body and chunk, so a batch that dies before its
         commit, or runs again, doesn't ask for them again.
         """
@@ -45,14 +50,11 @@ class Engine:
         sized = articles.withColumn("size", F.lit(sentences_per_chunk or self.config.sentences_per_chunk))
         plan = self._keep(plan_work(sized, tables["articles"], default_size=self.config.sentences_per_chunk), "plan")
         cache = self._extractions()
-        todo = pending_chunks(plan, cache).withColumn("key", F.concat_ws("\u0001", "article_id", "body_hash", "sentences_per_chunk"))
-        asked = todo.groupBy("key", "article_id", "url", "title", "author", "body_hash", "sentences_per_chunk", "total_chunks").agg(F.collect_list(F.struct("chunk_idx", "chunk")).alias("c"))
-        rows = asked.select("article_id", "url", "title", "author", "total_chunks", "body_hash", F.col("sentences_per_chunk").alias("chunk_size"), F.explode("c").alias("c")).select("*", "c.chunk_idx", "c.chunk").drop("c")
-        from kinweave.functions.text import message
-
+        rows = pending_chunks(plan, cache).withColumnRenamed("sentences_per_chunk", "chunk_size")
         said = rows.withColumn("message", message(F.col("title"), F.col("author"), F.col("url"), F.col("chunk"), F.col("chunk_idx"), F.col("total_chunks")))
-        said = said.repartition(max(1, self.config.max_parallel_articles), "article_id")
-        got = extract_chunks(said, self.client).join(rows.select("article_id", "chunk_idx", "body_hash", "chunk_size"), ["article_id", "chunk_idx"])
+        tasks = self.config.max_parallel_articles if max_parallel is None else max_parallel
+        said = said.repartition(tasks, "article_id") if tasks else said.repartition("article_id")
+        got = extract_chunks(said, self.client, stop=True).join(rows.select("article_id", "chunk_idx", "body_hash", "chunk_size"), ["article_id", "chunk_idx"])
         fresh = self._keep(got.select("article_id", "body_hash", "chunk_size", "chunk_idx", "people", "relationships", "error"), "fresh")
         fresh.where("error is null").write.mode("append").parquet(f"{self.store.root}/extractions")
         known = plan.where("outcome <> 'done' and not drift").select("article_id", "body_hash", F.col("sentences_per_chunk").alias("chunk_size"), "start_idx")
@@ -65,8 +67,6 @@ class Engine:
         return summary
 
     def _extractions(self) -> DataFrame:
-        from kinweave.schemas import CHUNK_EXTRACTION
-
         at = f"{self.store.root}/extractions"
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
@@ -105,7 +105,7 @@ class Engine:
             found = self._keep(found.groupBy("url").agg(F.count("*").alias("times")), "urls")
             got = self._keep(fetch_politely(found, fetch, delay=source.request_delay, partitions=parallel), "pages")
             articles = parse_articles(got, source.source_id, source.layout)
-            done = self.process(articles, sentences_per_chunk=sentences_per_chunk).select("article_url", "status", "relationships_stored", "error")
+            done = self.process(articles, sentences_per_chunk=sentences_per_chunk, max_parallel=parallel).select("article_url", "status", "relationships_stored", "error")
             lost = found.join(done.withColumnRenamed("article_url", "url"), "url", "left_anti").join(got.select("url", "error"), "url", "left")
             lost = lost.select(F.col("url").alias("article_url"), F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("relationships_stored"), F.coalesce("error", F.lit("no article was got")).alias("error"))
             again = found.where("times > 1").select(F.col("url").alias("article_url"), F.lit("already_exists").alias("status"), F.lit(0).cast("long").alias("relationships_stored"), F.lit(None).cast("string").alias("error"))
@@ -134,5 +134,3 @@ class Engine:
     def health(self) -> DataFrame:
         return reads.health(self.spark)
 
-
-__all__ = ["Engine", "messages"]

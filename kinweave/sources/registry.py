@@ -46,7 +46,7 @@ class Registry:
         return dict(self._held)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(k, s.source_id, s.topic_url, s.request_delay) for k, s in enumerate(self._held.values())]
+        rows = [(k, s.source_id, s.topic_url, float(s.request_delay)) for k, s in enumerate(self._held.values())]
         return spark.createDataFrame(rows, "priority int, source_id string, topic_url string, request_delay double")
 
     def for_url(self, url: Column | str) -> Column:
