@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from kinweave.llm.shingles import _PLACES, mix, texts_words
 from kinweave.llm.storage import Scratch
-from kinweave.llm.tokens import slices
+from kinweave.llm.tokens import release, slices
 
 MASKS = ("1110010011", "1101100101", "1010111001")
 WINDOW, LEAST_SHARE, LEAST_WORDS, SLICE_CHARS = 16, 0.75, 8, 1 << 25
@@ -135,6 +135,7 @@ def find_passages(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
                 held = batch.column("hits").to_pylist()
                 merged = pa.array([(x or []) + y for x, y in zip(held, found, strict=True)], _HITS_ARROW)
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), merged], names=[*kept, "hits"])
+            release()
 
         out = out.mapInArrow(search, schema)
         if k < count - 1:

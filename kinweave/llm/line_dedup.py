@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.storage import Scratch
+from kinweave.llm.tokens import release
 
 LONG_LINE, LEAST_WORDS = 40, 10
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
@@ -71,6 +72,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, least_words: int = LEAS
                 both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 columns = [both[:, 0], both[:, 1], np.concatenate(names), np.concatenate(marks), np.concatenate(places)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in columns], names=["h1", "h2", "name", "mark", "place"])
+        release()
 
     every = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(windows, "h1 long, h2 long, name long, mark long, place long")
     found, found_at = scratch.write(every, "windows")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.components import connected_components
 from kinweave.llm.shingles import shingle_sets
 from kinweave.llm.storage import Scratch, plan_bytes, shuffle_width
-from kinweave.llm.tokens import slices
+from kinweave.llm.tokens import release, slices
 
 _U = np.uint64
 _META = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4"), ("set", "V16")])
@@ -79,6 +79,7 @@ def _text_pieces(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 for k, (name, got) in enumerate(zip(batch.column(0).slice(first, len(texts)).to_pylist(), sets, strict=True)):
                     metas[k] = (name is not None, name or 0, len(got), xxhash.xxh3_128_digest(got.tobytes()))
                 yield _cut(bits, next(ids), metas, sets)
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
 
@@ -129,6 +130,7 @@ def _shared(pieces: DataFrame, width: int, bits: int) -> DataFrame:
                     held.append((frag, block, low, high, local))
         if held:
             yield count()
+        release()
 
     return pieces.repartition(width, "frag").sortWithinPartitions("frag").mapInArrow(run, _PIECES)
 
@@ -177,6 +179,7 @@ def _kept(shared: DataFrame, width: int, bits: int, percent: int, *, classes: bo
                 held.append(row)
         if held:
             yield sets()
+        release()
 
     return shared.repartition(width, "block").sortWithinPartitions("block").mapInArrow(run, _SETS)
 

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from kinweave.llm.tokens import encoder, slices
+from kinweave.llm.tokens import encoder, release, slices
 
+KEPT_PIECES = 120_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
@@ -117,7 +118,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, base = encoder(tokenizer), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        release()
+        tokens, base = encoder(tokenizer, KEPT_PIECES), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         held: list[tuple[int | None, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -145,5 +147,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end
                         many = 0
         if held:
             yield flush()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.shingles import texts_words
-from kinweave.llm.tokens import slices
+from kinweave.llm.tokens import release, slices
 
 LABELLED, POOL, ROUNDS, SURE, SHARE = 6000, 4000, 3, 0.97, 0.05
 _BUCKETS = 128
@@ -190,5 +190,6 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, th
                     to.append(np.where(words > 0, x, 0.0))
             done = [np.concatenate(x) if x else np.zeros(0) for x in scores]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in own), *map(pa.array, done), pa.array(done[0] >= threshold)], names=[*own, *added])
+        release()
 
     return view.mapInArrow(judge, schema)

@@ -9,6 +9,7 @@ with other white space beside a space are cut by a slower rule.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -26,8 +27,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARK = "\x01"
 _OTHER_SPACES = [_MARK, *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 _PAIRS = ("  ", " \n", "\n ")
-#: Pieces in each of two generations of the dictionary.
-_GENERATION, _PIECES_AT_ONCE = 340_000, 4096
+#: Pieces in each of two generations of a dictionary, if its user doesn't say.
+GENERATION, _PIECES_AT_ONCE = 340_000, 4096
 _STOP = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?])"
 
 
@@ -59,7 +60,8 @@ def _pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
 class TextEncoder:
     """Encodes texts; special tokens' strings in a text are ordinary text. Null counts as empty."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, generation: int = GENERATION) -> None:
+        self.generation = generation
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
@@ -96,7 +98,7 @@ class TextEncoder:
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         begins, numbers, distinct = _pieces([x or "" for x in texts])
-        if len(self.pieces) > _GENERATION:
+        if len(self.pieces) > self.generation:
             self.older, self.pieces = self.pieces, {}
         found = list(map(self.pieces.get, distinct))
         gaps = [i for i, x in enumerate(found) if x is None]
@@ -120,12 +122,19 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, generation: int = GENERATION) -> TextEncoder:
     """One for each Python worker and vocabulary."""
-    return TextEncoder(path)
+    return TextEncoder(path, generation)
 
 
-def slices(column, most_rows: int = 2048, most_chars: int = 1 << 22) -> Iterator[tuple[int, list[str | None]]]:
+def release() -> None:
+    """Gives memory that a task has freed back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def slices(column, most_rows: int = 2048, most_chars: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of an Arrow string column, in slices that bound memory."""
     first, texts, chars = 0, [], 0
     for row, value in enumerate(column):
