@@ -54,8 +54,9 @@ class Scratch:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size: file sizes for a scan. Runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of a plan's size, file sizes for a scan; 0 if it has none. Runs no job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def shuffle_width(spark: SparkSession) -> int:
