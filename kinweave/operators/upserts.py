@@ -20,43 +20,66 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return best.select(*(F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in rows.columns))
 
 
+def new_rows(table: DataFrame, rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """Of the rows whose key the table lacks, the first of each key.
+
+    The table is cut down to the rows' keys first: a batch is small next to it, so Spark can send the
+    batch's keys to the table's scan instead of shuffling the table.
+    """
+    there = table.select(*keys).join(rows.select(*keys).distinct(), keys, "left_semi")
+    fresh = first_by(rows.join(there, keys, "left_anti"), keys, order)
+    return fresh.select(*table.columns)
+
+
 def insert_new(table: DataFrame, rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The table and, of the rows whose key it lacks, the first of each key."""
-    fresh = first_by(rows.join(table.select(*keys), keys, "left_anti"), keys, order)
-    return table.unionByName(fresh.select(*table.columns), allowMissingColumns=False)
+    """The table and its new rows."""
+    return table.unionByName(new_rows(table, rows, keys, order))
 
 
-def add_people(people: DataFrame, names: DataFrame) -> DataFrame:
-    """Get or create by exact canonical name (canonical_name, and bio if there)."""
+def new_people(people: DataFrame, names: DataFrame) -> DataFrame:
+    """Get or create by exact canonical name (canonical_name, and bio if there): what is created."""
     bio = F.col("bio") if "bio" in names.columns else F.lit(None).cast("string")
     rows = names.where("canonical_name is not null").select(stable_id("canonical_name").alias("person_id"), "canonical_name", bio.alias("bio"))
-    return insert_new(people, rows, ["canonical_name"], ["person_id", F.coalesce("bio", F.lit(""))])
+    return new_rows(people, rows, ["canonical_name"], ["person_id", F.coalesce("bio", F.lit(""))])
 
 
-def add_aliases(aliases: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
+def new_aliases(aliases: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
     """surface_form belongs to the first person that claims it, for ever. The empty form isn't kept."""
     rows = rows.where(F.coalesce("surface_form", F.lit("")) != "").withColumn("alias_id", stable_id("surface_form"))
-    return insert_new(aliases, rows, ["surface_form"], [*order, "person_id"])
+    return new_rows(aliases, rows, ["surface_form"], [*order, "person_id"])
 
 
-def add_articles(articles: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
+def new_articles(articles: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
     """By url: a row that is there stays untouched."""
     rows = rows.withColumn("article_id", stable_id("url")).withColumn("chunks_processed", F.lit(0))
-    return insert_new(articles, rows, ["url"], [*order, "body_hash"])
+    return new_rows(articles, rows, ["url"], [*order, "body_hash"])
 
 
-def add_relationships(relationships: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
+def new_relationships(relationships: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
     """By source, target and type, in its case: the first explanation stays."""
     keys = ["source_person_id", "target_person_id", "relation_type"]
     rows = rows.withColumn("rel_id", stable_id(*keys))
-    return insert_new(relationships, rows, keys, [*order, F.coalesce("explanation", F.lit(""))])
+    return new_rows(relationships, rows, keys, [*order, F.coalesce("explanation", F.lit(""))])
 
 
-def add_provenance(provenance: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
+def new_provenance(provenance: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
     """By relationship and article: the first quote stays."""
     keys = ["rel_id", "article_id"]
     rows = rows.withColumn("prov_id", stable_id(*keys))
-    return insert_new(provenance, rows, keys, [*order, F.coalesce("quote", F.lit(""))])
+    return new_rows(provenance, rows, keys, [*order, F.coalesce("quote", F.lit(""))])
+
+
+def _whole(find):
+    """The function that returns the table with what ``find`` returns added."""
+
+    def add(table: DataFrame, rows: DataFrame, *order) -> DataFrame:
+        return table.unionByName(find(table, rows, *order))
+
+    add.__doc__ = f"The table after: {find.__doc__}"
+    return add
+
+
+add_people, add_aliases, add_articles, add_relationships, add_provenance = map(_whole, (new_people, new_aliases, new_articles, new_relationships, new_provenance))
 
 
 def advance(articles: DataFrame, progress: DataFrame) -> DataFrame:
@@ -71,22 +94,30 @@ def orphans(relationships: DataFrame, provenance: DataFrame, affected: DataFrame
     return asked.join(provenance.select("rel_id").distinct(), "rel_id", "left_anti")
 
 
-def reset_articles(articles: DataFrame, relationships: DataFrame, provenance: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New (articles, relationships, provenance) after a reset of ``resets`` (article_id, body_hash, sentences_per_chunk, total_chunks).
+def reset_changes(articles: DataFrame, relationships: DataFrame, provenance: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a reset of ``resets`` (article_id, body_hash, sentences_per_chunk, total_chunks) changes.
 
-    The articles' provenance goes, then the relationships that only it supported; people and aliases stay,
-    and so do the articles' other fields.
+    The articles' new rows, the rel_id of relationships that go, and the prov_id or (rel_id, article_id)
+    rows of provenance that go: the articles' own, and the relationships that only it supported. Only
+    affected relationships are looked at. People and aliases stay, and so do the articles' other fields.
     """
     ids = resets.select("article_id").distinct()
-    affected = provenance.join(ids, "article_id", "left_semi").select("rel_id").distinct()
-    kept = provenance.join(ids, "article_id", "left_anti")
-    gone = orphans(relationships, kept, affected).select("rel_id")
-    new = resets.groupBy("article_id").agg(*(F.first(c).alias(f"__{c}") for c in ("body_hash", "sentences_per_chunk", "total_chunks")), F.lit(True).alias("__reset"))
-    out = articles.join(new, "article_id", "left")
+    gone_provenance = provenance.join(ids, "article_id", "left_semi").select(*provenance.columns)
+    affected = gone_provenance.select("rel_id").distinct()
+    rest = provenance.join(affected, "rel_id", "left_semi").join(ids, "article_id", "left_anti")
+    gone = orphans(relationships, rest, affected).select("rel_id")
+    new = resets.groupBy("article_id").agg(*(F.first(c).alias(f"__{c}") for c in ("body_hash", "sentences_per_chunk", "total_chunks")))
+    rows = articles.join(new, "article_id")
     for c in ("body_hash", "sentences_per_chunk", "total_chunks"):
-        out = out.withColumn(c, F.when(F.col("__reset"), F.col(f"__{c}")).otherwise(F.col(c)))
-    out = out.withColumn("chunks_processed", F.when(F.col("__reset"), F.lit(0)).otherwise(F.col("chunks_processed")))
-    return out.select(*articles.columns), relationships.join(gone, "rel_id", "left_anti"), kept
+        rows = rows.withColumn(c, F.col(f"__{c}"))
+    return rows.withColumn("chunks_processed", F.lit(0)).select(*articles.columns), gone, gone_provenance
+
+
+def reset_articles(articles: DataFrame, relationships: DataFrame, provenance: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New (articles, relationships, provenance) after a reset, as whole tables."""
+    rows, gone, _ = reset_changes(articles, relationships, provenance, resets)
+    ids = resets.select("article_id").distinct()
+    return articles.join(ids, "article_id", "left_anti").select(*articles.columns).unionByName(rows), relationships.join(gone, "rel_id", "left_anti").select(*relationships.columns), provenance.join(ids, "article_id", "left_anti").select(*provenance.columns)
 
 
 def delete_people(people: DataFrame, aliases: DataFrame, relationships: DataFrame, provenance: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

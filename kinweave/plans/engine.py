@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from kinweave.operators.extract import Client, RuleClient, extract_chunks
 from kinweave.operators.filters import of_sources
 from kinweave.operators.resolve_state import Chooser
 from kinweave.plans.incremental import apply_extractions, pending_chunks, plan_work
+from kinweave.plans.shared import shared_dir
 from kinweave.plans.store import Store
 from kinweave.schemas import CHUNK_EXTRACTION
 from kinweave.sources.html import parse_articles, parse_listings
@@ -26,7 +26,7 @@ class Engine:
     def __init__(self, spark: SparkSession, store: Store, *, client: Client | None = None, chooser: Chooser | None = None, registry: Registry | None = None, config: Settings | None = None) -> None:
         self.spark, self.store, self.client, self.chooser = spark, store, client or RuleClient(), chooser
         self.registry, self.config = registry or Registry(), config or settings()
-        self._temp = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="kinweave-")
+        self._temp = shared_dir(spark)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self._temp}/engine-{uuid.uuid4().hex}-{name}"

@@ -9,6 +9,7 @@ from kinweave.functions.text import body_hash, chunk_size, chunks, sentences
 from kinweave.operators import upserts
 from kinweave.operators.ordered import frontier
 from kinweave.operators.resolve_state import Chooser, mentions_of, resolve_articles
+from kinweave.plans.store import Change
 from kinweave.schemas import stable_id
 
 
@@ -48,27 +49,30 @@ def pending_chunks(plan: DataFrame, extracted: DataFrame | None = None) -> DataF
     return rows
 
 
-def apply_extractions(tables: dict[str, DataFrame], plan: DataFrame, extractions: DataFrame, *, keep=lambda df, name: df, strict: bool = False, use_recency: bool = True, use_chooser: bool = True, chooser: Chooser | None = None, persist_recency_aliases: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
-    """New tables and a summary for each url, after the chunks of ``extractions`` (article_id, chunk_idx, people, relationships, error).
+def apply_extractions(tables: dict[str, DataFrame], plan: DataFrame, extractions: DataFrame, *, keep=lambda df, name: df, strict: bool = False, use_recency: bool = True, use_chooser: bool = True, chooser: Chooser | None = None, persist_recency_aliases: bool = True) -> tuple[dict[str, Change], DataFrame]:
+    """Each table's change, and a summary for each url, from the chunks of ``extractions`` (article_id, chunk_idx, people, relationships, error).
 
     Only chunks before an article's first error count. ``keep`` may write a DataFrame that several plans
     read. Names resolve article by article against the aliases as they were; of two articles that claim a
     form, the earlier by article_id keeps it, and each keeps its own decisions.
     """
-    resets = plan.where("outcome = 'reset'").select("article_id", "body_hash", "sentences_per_chunk", "total_chunks")
-    articles, edges, provenance = upserts.reset_articles(tables["articles"], tables["relationships"], tables["provenance"], resets)
+    resets = plan.where("outcome = 'reset' and not drift").select("article_id", "body_hash", "sentences_per_chunk", "total_chunks")
+    reset_rows, gone_edges, gone_provenance = upserts.reset_changes(tables["articles"], tables["relationships"], tables["provenance"], resets)
+    gone_edges = keep(tables["relationships"].join(gone_edges, "rel_id", "left_semi").select(*tables["relationships"].columns), "gone_edges")
+    gone_provenance = keep(gone_provenance, "gone_provenance")
     fresh = plan.where("outcome = 'new' and not drift").withColumn("seq", F.lit(0))
-    articles = upserts.add_articles(articles, fresh.select("url", "title", "author", "published_at", "source", "body_hash", "sentences_per_chunk", "total_chunks", "seq"))
+    made = upserts.new_articles(tables["articles"], fresh.select("url", "title", "author", "published_at", "source", "body_hash", "sentences_per_chunk", "total_chunks", "seq"))
+    going_on = tables["articles"].join(plan.where("outcome in ('resume', 'start')").select("article_id"), "article_id", "left_semi").select(*tables["articles"].columns)
 
     good = keep(frontier(extractions.withColumn("failed", F.col("error").isNotNull())).drop("failed"), "good")
     snapshot = tables["aliases"].join(tables["people"].select("person_id", "canonical_name"), "person_id").select("surface_form", "person_id", "canonical_name")
     resolved = keep(resolve_articles(mentions_of(good), snapshot, strict=strict, use_recency=use_recency, use_chooser=use_chooser, chooser=chooser), "resolved")
-    people = upserts.add_people(tables["people"], resolved.where("new_person").select("canonical_name"))
+    people = upserts.new_people(tables["people"], resolved.where("new_person").select("canonical_name"))
     claimed = resolved.where("new_alias is not null")
     if not persist_recency_aliases:
         claimed = claimed.where((F.col("stage") != "subname") | F.contains("new_alias", F.lit(" ")))
     order = ["article_id", "chunk_idx", "kind", "pos"]
-    aliases = upserts.add_aliases(tables["aliases"], claimed.select(F.col("new_alias").alias("surface_form"), "person_id", *order), order)
+    aliases = upserts.new_aliases(tables["aliases"], claimed.select(F.col("new_alias").alias("surface_form"), "person_id", *order), order)
 
     told = good.select("article_id", "chunk_idx", F.posexplode("relationships").alias("pos", "e"))
     end = lambda name, k: resolved.where("kind = '2end'").where(F.col("pos") % 2 == k).select("article_id", "chunk_idx", F.floor(F.col("pos") / 2).cast("int").alias("pos"), F.col("person_id").alias(name))
@@ -76,9 +80,12 @@ def apply_extractions(tables: dict[str, DataFrame], plan: DataFrame, extractions
     rows = rows.select("source_person_id", "target_person_id", F.col("e.relation_type").alias("relation_type"), F.col("e.explanation").alias("explanation"), F.col("e.supporting_quote").alias("quote"), "article_id", "chunk_idx", "pos")
     rows = keep(rows.withColumn("rel_id", stable_id("source_person_id", "target_person_id", "relation_type")), "edges")
     place = ["article_id", "chunk_idx", "pos"]
-    edges = upserts.add_relationships(edges, rows.select("source_person_id", "target_person_id", "relation_type", "explanation", *place), place)
-    provenance = upserts.add_provenance(provenance, rows.select("rel_id", "article_id", "quote", "chunk_idx", "pos"), ["chunk_idx", "pos"])
-    articles = upserts.advance(articles, good.groupBy("article_id").agg((F.max("chunk_idx") + 1).alias("chunks_processed")))
+    left_edges = tables["relationships"].join(gone_edges.select("rel_id"), "rel_id", "left_anti").select(*tables["relationships"].columns)
+    left_provenance = tables["provenance"].join(gone_provenance.select("prov_id"), "prov_id", "left_anti").select(*tables["provenance"].columns)
+    edges = upserts.new_relationships(left_edges, rows.select("source_person_id", "target_person_id", "relation_type", "explanation", *place), place)
+    provenance = upserts.new_provenance(left_provenance, rows.select("rel_id", "article_id", "quote", "chunk_idx", "pos"), ["chunk_idx", "pos"])
+    progress = good.groupBy("article_id").agg((F.max("chunk_idx") + 1).alias("chunks_processed"))
+    made, patched = upserts.advance(made, progress), upserts.advance(going_on.unionByName(reset_rows), progress)
 
     persons = resolved.where("kind = '1person'").groupBy("article_id").agg(F.countDistinct("person_id").alias("people_resolved"))
     stored = rows.groupBy("article_id").agg(F.count("*").alias("relationships_stored"))
@@ -97,4 +104,11 @@ def apply_extractions(tables: dict[str, DataFrame], plan: DataFrame, extractions
         "total_chunks",
         F.when(F.col("drift"), F.lit("chunk count has changed")).alias("error"),
     )
-    return {"people": people, "aliases": aliases, "articles": articles, "relationships": edges, "provenance": provenance}, summary
+    changes = {
+        "people": Change(added=people),
+        "aliases": Change(added=aliases),
+        "articles": Change(added=made, replaced=patched),
+        "relationships": Change(added=edges, removed=gone_edges),
+        "provenance": Change(added=provenance, removed=gone_provenance),
+    }
+    return changes, summary
