@@ -82,6 +82,16 @@ def recover_json(raw: str) -> str:
     return raw[a : b + 1]
 
 
+def alias_chooser(client: Client) -> Callable[[str, list[str]], str | None]:
+    """A chooser for the resolver that asks a client; an answer that isn't a candidate is none."""
+
+    def choose(name: str, candidates: list[str]) -> str | None:
+        said = json.loads(recover_json(client.complete(ALIAS_RULES, f"Name: {name}\nCandidates:\n" + "\n".join(f"- {c}" for c in candidates), "canonical_name STRING")))
+        return said.get("canonical_name") if said.get("canonical_name") in candidates else None
+
+    return choose
+
+
 def json_in(raw: Column | str) -> Column:
     """The same as an expression: null where there is no object."""
     return F.nullif(F.regexp_extract(F.col(raw) if isinstance(raw, str) else raw, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import evaluate
+from kinweave.plans.evaluation import evaluate_resolver
 from kinweave.queries.registry import query, table
 
 _PRF = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS recall, CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1"
@@ -73,3 +74,12 @@ def _rounded(df: DataFrame) -> DataFrame:
  ('a', 'extra', 0, 'Jane Doe', 'John Roe', NULL, 'criticizes'), ('a', 'extra', 1, '李', 'Ann Poe', NULL, 'supports'), ('a', 'missed', 0, 'Ann Poe', 'Jane Doe', 'hires', NULL), ('b', 'extra', 0, 'Max Moe', 'Ann Poe', NULL, 'funds')) AS t(article_id, label, pos, source, target, keywords, said)""")
 def e3_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.edge_diff(_edges(spark))
+
+
+@query("""SELECT * FROM (VALUES (0, 'Dr. Sam Altman', 'Sam Altman', 'alias'), (1, 'Sam Altmann', 'Sam Altman', 'levenshtein'), (2, 'Sam  Altmann', 'Sam Altman', 'alias'),
+ (3, 'Altman', 'Sam Altman', 'subname'), (4, 'Anthony', NULL, 'none'), (5, 'Bill Gates', NULL, 'none')) AS t(seq, surface, got, got_stage)""")
+def e4_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.createDataFrame([(x, x) for x in ("Sam Altman", "Anthony Ha", "Anthony Garcia")], "canonical_name string, surface string")
+    asked = ("Dr. Sam Altman", "Sam Altmann", "Sam  Altmann", "Altman", "Anthony", "Bill Gates")
+    pairs = spark.createDataFrame([(i, x, None, None) for i, x in enumerate(asked)], "seq int, surface string, expected string, expected_stage string")
+    return evaluate_resolver(seeds, pairs).select("seq", "surface", "got", "got_stage")

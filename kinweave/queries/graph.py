@@ -5,16 +5,22 @@ An edge links a customer to a supplier with the return flag as its type; its pro
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.config import Settings
 from kinweave.functions.names import normalize
 from kinweave.functions.text import chunks, sentences
 from kinweave.operators import reads, upserts
 from kinweave.operators.filters import of_sources, touching
 from kinweave.operators.ordered import frontier
+from kinweave.plans.engine import Engine
 from kinweave.plans.incremental import pending_chunks, plan_work
+from kinweave.plans.shared import shared_dir
+from kinweave.plans.store import Store
 from kinweave.queries.registry import query, table
 from kinweave.schemas import evolve_articles
 
@@ -309,3 +315,11 @@ def q5_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q6_article_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.article_by_url(articles_of(spark, sf_dir), "http://news.example/7").select("article_id", "title")
 
+
+
+@query(_PLAN + "SELECT 'http://news.example/' || doc_id AS article_url, 'processed' AS status, n5 AS chunks_processed, n5 AS total_chunks FROM o")
+def c1_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the whole engine, by the rule client, into a new store."""
+    engine = Engine(spark, Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), config=Settings())
+    summary = engine.process(_incoming(spark, sf_dir).drop("size", "doc_id"), max_parallel=0)
+    return summary.select("article_url", "status", "chunks_processed", "total_chunks")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from urllib.request import Request, urlopen
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,12 @@ def listing_urls(sources: DataFrame, pages: int) -> DataFrame:
     return rows.select("priority", "source_id", "page", F.when(F.col("page") <= 1, F.col("topic")).otherwise(F.concat("topic", F.lit("page/"), F.col("page").cast("string"), F.lit("/"))).alias("url"))
 
 
+def http_fetch(url: str) -> str | None:
+    """The page at a URL, redirects followed; raises on any error. For ``fetch_politely`` and the engine."""
+    with urlopen(Request(url, headers={"User-Agent": USER_AGENT}), timeout=TIMEOUT) as answer:
+        return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+
 def fetch_politely(urls: DataFrame, fetch: Callable[[str], str | None], *, delay: float, partitions: int | None = None) -> DataFrame:
     """url, html, error of each URL. A host's pages are got by one task, one after another, with a pause before each."""
 

@@ -217,3 +217,22 @@ def test_first_wins_with_ties(spark):
     rows = spark.createDataFrame([("k", 2, "b"), ("k", 1, "z"), ("k", 1, "a"), ("l", 5, None)], "k string, o int, v string")
     got = {r.k: (r.o, r.v) for r in upserts.first_by(rows, ["k"], ["o", "v"]).collect()}
     assert got == {"k": (1, "a"), "l": (5, None)}
+
+
+def test_evaluation_and_reports(spark, tmp_path, capsys):
+    from kinweave.__main__ import main
+
+    article = {"id": "g1", "url": "u", "title": "t", "author": "Jane Roe", "body_text": "Ann Poe sharply criticized Max Moe.", "people": ["Ann Poe", "Max Moe", "Jane Roe", "Who Else"], "relationships": [{"source": "Ann Poe", "target": "Max Moe", "type_keywords": ["criticized"]}, {"source": "Jane Roe", "target": "Ann Poe", "type_keywords": ["covers"]}]}
+    pairs = {"canonical_seed": [{"canonical_name": n, "seed_aliases": [n]} for n in ("Sam Altman", "Anthony Ha", "Anthony Garcia")], "pairs": [{"surface": "Sam Altmann", "expected": "Sam Altman", "expected_stage": "levenshtein"}, {"surface": "sam altmann", "expected": "Sam Altman", "expected_stage": "alias"}, {"surface": "Anthony", "expected": None, "expected_stage": "none"}]}
+    (tmp_path / "a.json").write_text(json.dumps([article]))
+    (tmp_path / "p.json").write_text(json.dumps(pairs))
+    assert main(["--articles", str(tmp_path / "a.json"), "--pairs", str(tmp_path / "p.json"), "--show-diff"]) == 0
+    said = capsys.readouterr().out
+    assert "names 3/3, stages 3/3" in said and "g1 extra: Jane Roe -> Ann Poe" in said and "g1 missed" in said
+    total = [x.split() for x in said.splitlines() if x.startswith("TOTAL")]
+    assert [t[1:4] for t in total] == [["3", "0", "1"], ["1", "1", "1"], ["1", "1", "1"]]
+
+
+def test_alias_chooser():
+    client = extract.PromptedClient(lambda s, u: 'I say {"canonical_name": "Ann Poe"}')
+    assert extract.alias_chooser(client)("A. Poe", ["Ann Poe"]) == "Ann Poe" and extract.alias_chooser(client)("x", ["Max"]) is None
