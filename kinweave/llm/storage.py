@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
+from kinweave.plans.shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="kinweave-"))
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 class Scratch:
     """Cuts lineage with Parquet tables under the shared folder, which survive the loss of executors.
 
@@ -34,6 +26,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._written: list[str] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -45,6 +38,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         to = self.path(name)
         df.write.option("compression", "zstd").parquet(to)
+        self._written.append(to)
         return self.spark.read.schema(df.schema).parquet(to), to
 
     def drop(self, path: str) -> None:
@@ -53,6 +47,31 @@ class Scratch:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+    def sweep(self, *keep: str) -> None:
+        """Drops all tables but these paths: the last step before a lazy result is returned."""
+        for path in self._written:
+            if path not in keep:
+                self.drop(path)
+        self._written = list(keep)
+
+
+@lru_cache(maxsize=64)
+def _place_keys(spark: SparkSession, width: int) -> tuple[int, ...]:
+    """For each of ``width`` partitions, a number that Spark's hash partitioning sends there."""
+    n, found = 16 * width, {}
+    while len(found) < width:
+        for row in spark.range(n).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("p")).groupBy("p").agg(F.min("k").alias("k")).collect():  # at most width rows
+            found[row["p"]] = row["k"]
+        n *= 4
+    return tuple(found[p] for p in range(width))
+
+
+def deal(df: DataFrame, width: int, number: str) -> DataFrame:
+    """Rows by a dense number to the partition of that number modulo ``width``: evenly, where a hash of few numbers isn't."""
+    keys = F.array(*map(F.lit, _place_keys(df.sparkSession, width)))
+    return df.repartition(width, F.element_at(keys, F.pmod(F.col(number), F.lit(width)).cast("int") + 1))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size, file sizes for a scan; 0 if it has none. Runs no job."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
