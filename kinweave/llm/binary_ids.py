@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.huffman import Code, code_lengths
-from kinweave.llm.storage import Scratch, plan_bytes, shuffle_width
+from kinweave.llm.storage import Scratch, deal, plan_bytes, shuffle_width
 from kinweave.llm.tokens import encoder, slices
 
 STRIDE, BLOCK_IDS, MAGIC = 256, 1 << 18, b"KWH1"
@@ -81,7 +81,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: i
         tokens = encoder(tokenizer)
         total = np.zeros(tokens.size, dtype=np.int64)
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), 4096, 1 << 22):
                 ids = [np.append(x, x.dtype.type(end_id)) for x in tokens.encode_all(texts)]
                 names = batch.column(0).slice(first, len(texts))
                 marks = [zlib.crc32((x or "").encode()) for x in texts]
@@ -94,7 +94,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: i
             yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((TaskContext.get().partitionId() % width, None, None, None, sums), _IDS, strict=True)], schema=_IDS)
 
     found = docs.mapInArrow(tokenise, _IDS_DDL)
-    sorted_ids, sorted_at = scratch.write(found.repartition(width, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "mark"), "ids")
+    sorted_ids, sorted_at = scratch.write(deal(found, width, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "mark"), "ids")
     del found
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # the shuffle's files are of no more use

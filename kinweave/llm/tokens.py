@@ -54,7 +54,7 @@ def _pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
             cut[i] = [first, *(" " + y for y in rest)]
         lists = pa.array(cut, pa.list_(pa.string()))
     flat = lists.flatten().dictionary_encode()
-    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), flat.indices.to_numpy(), flat.dictionary.to_pylist()
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 class TextEncoder:
