@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.components import connected_components
 from kinweave.llm.shingles import shingle_sets
-from kinweave.llm.storage import Scratch, plan_bytes, shuffle_width
+from kinweave.llm.storage import Scratch, deal, plan_bytes, shuffle_width
 from kinweave.llm.tokens import release, slices
 
 _U = np.uint64
@@ -41,7 +41,7 @@ _PIECES = "frag int, block long, low binary, high binary, local binary, df binar
 _PIECES_ARROW = pa.schema([("frag", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in ("low", "high", "local", "df", "meta"))])
 _SETS = "key long, doc_id long, n long, digest binary, own long, typical double, grams binary, prefix array<long>"
 _SETS_ARROW = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("own", pa.int64()), ("typical", pa.float64()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-_SEGMENTS, _TILE = 8, 2048  # segments: a power of two up to 8
+_SEGMENTS, _TILE = 8, 512  # segments: a power of two up to 8
 
 
 def _cut(bits: int, block: int, metas: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -132,7 +132,7 @@ def _shared(pieces: DataFrame, width: int, bits: int) -> DataFrame:
             yield count()
         release()
 
-    return pieces.repartition(width, "frag").sortWithinPartitions("frag").mapInArrow(run, _PIECES)
+    return deal(pieces, width, "frag").sortWithinPartitions("frag").mapInArrow(run, _PIECES)
 
 
 def _kept(shared: DataFrame, width: int, bits: int, percent: int, *, classes: bool) -> DataFrame:
@@ -286,7 +286,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, *, words: int = 5, perc
     scratch = scratch or Scratch(spark, "jaccard")
     width = shuffle_width(spark)
     bits = min(24, max(10, (8 * width - 1).bit_length(), (plan_bytes(docs) >> 21).bit_length()))
-    rows, _ = scratch.write(_kept(_shared(_text_pieces(docs, words, bits), width, bits), width, bits, percent, classes=False), "sets")
+    rows, rows_at = scratch.write(_kept(_shared(_text_pieces(docs, words, bits), width, bits), width, bits, percent, classes=False), "sets")
 
     some = rows.where("grams is not null")
     heads, _ = scratch.write(some.groupBy("digest", "n").agg(F.min("key").alias("rep")), "heads")
@@ -318,7 +318,8 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, *, words: int = 5, perc
     last, _ = scratch.write(connected_components(linked.unionByName(more), scratch), "last")
 
     found = members.join(last.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    found, _ = scratch.write(found.select("doc_id", "n", "component"), "found")
-    least, _ = scratch.write(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    found, found_at = scratch.write(found.select("doc_id", "n", "component"), "found")
+    least, least_at = scratch.write(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    scratch.sweep(rows_at, found_at, least_at)
     out = found.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("grams is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
