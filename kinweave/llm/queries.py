@@ -130,3 +130,67 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = binary_ids.write_ids(spark, table(spark, sf_dir, "documents"), tokens.default_path())
     return binary_ids.read_ids(spark, files, digest=True)
+
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op2_ngram_jaccard"] = (
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({low}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+""".replace("{low}", _LOW)
+)
+ORACLES["op6_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), h AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, '.' || coalesce(host, '') AS dotted, coalesce(host, '') || ' ' || coalesce(path, '') AS t FROM u),
+j AS (
+  SELECT page_id, host, path,
+    CASE WHEN ends_with(dotted, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN ends_with(dotted, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN ends_with(dotted, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN ends_with(dotted, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN ends_with(dotted, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+    CASE WHEN regexp_matches(t, '^[^ ]*\b(?:porn|xxx|sex)\b') THEN 'adult' WHEN regexp_matches(t, '\bcasino\b') THEN 'casino'
+      WHEN regexp_matches(t, '^(?:[^ ]*\.)?doubleclick\.net ') THEN 'doubleclick' WHEN regexp_matches(t, '^[^ ]+ /(?:[^ ]*/)?(?:login|signin)/?') THEN 'login'
+      WHEN regexp_matches(t, '\bviagra\b') THEN 'viagra' WHEN regexp_matches(t, '^[^ ]+ /(?:[^ ]*/)?wp-admin/') THEN 'wp-admin' END AS pattern
+  FROM h
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM j
+"""
+ORACLES["op8_decontamination"] = r"""
+WITH dd AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+ii AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p, len(ws) AS n FROM dd),
+iw AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS q, len(ws) AS m FROM ii WHERE len(ws) >= 8),
+g AS (SELECT doc_id, item_id, p - q AS d, m, n, list(q) AS qs FROM dw JOIN iw ON dw.w = iw.w GROUP BY doc_id, item_id, p - q, m, n HAVING count(*) >= ceil(0.75 * least(16, m))),
+s AS (SELECT *, least(16, m) AS k, unnest(range(greatest(0, -d), least(m, n - d) - least(16, m) + 1)) AS s FROM g),
+f AS (SELECT doc_id, item_id, d, k, qs, min(s) AS lo, max(s) + k AS hi FROM s WHERE len(list_filter(qs, lambda q: q >= s AND q < s + k)) >= ceil(0.75 * k) GROUP BY doc_id, item_id, d, k, qs),
+x AS (SELECT doc_id, item_id, d, list_filter(qs, lambda q: q >= lo AND q < hi) AS inside FROM f),
+y AS (SELECT doc_id, item_id, d + list_min(inside) AS start, list_max(inside) - list_min(inside) + 1 AS words, len(inside) AS equal FROM x)
+SELECT t.doc_id, count(y.item_id) AS n_hits, count(y.item_id) > 0 AS contaminated, coalesce(array_to_string(list_sort(list_distinct(list(y.item_id))), ','), '') AS item_ids,
+  coalesce(sum(y.words), 0)::BIGINT AS n_words, coalesce(string_agg(concat_ws(':', y.item_id, y.start, y.words, y.equal), ',' ORDER BY y.item_id, y.start, y.words, y.equal), '') AS spans
+FROM documents t LEFT JOIN y ON y.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+ORACLES["op9_vector_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+x AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, x.b FROM r JOIN x ON r.b = x.a),
+c AS (SELECT a, count(*) AS n FROM x GROUP BY a)
+SELECT t.vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.b) AS component_id, t.vec_id = min(r.b) AS kept
+FROM embeddings t JOIN r ON r.a = t.vec_id LEFT JOIN c ON c.a = t.vec_id GROUP BY t.vec_id
+"""
