@@ -46,7 +46,7 @@ def people_page(people: DataFrame, aliases: DataFrame, page: int = 1, page_size:
 def people_after(people: DataFrame, aliases: DataFrame, last: tuple[str, str] | None, page_size: int = 20) -> DataFrame:
     """The page after (canonical_name, person_id): deep pages without a scan of those before."""
     between("page_size", page_size, 1, 200)
-    rest = people if last is None else people.where((F.col("canonical_name") > last[0]) | ((F.col("canonical_name") == last[0]) & (F.col("person_id") > last[1])))
+    rest = people if last is None else people.where((F.col("canonical_name") >= last[0]) & ((F.col("canonical_name") > last[0]) | (F.col("person_id") > last[1])))  # the first part reaches the scan
     return people_page(rest, aliases, 1, page_size)
 
 

@@ -56,12 +56,12 @@ def _edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "article_id string, side string, pos int, source string, target string, said string")
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 2, 2, 0.333333333, 0.333333333, 0.333333333), ('b', 0, 1, 0, 0.0, 0.0, 0.0)) AS t(article_id, tp, fp, fn, precision, recall, f1)")
+@query("SELECT article_id, tp, fp, fn, precision::DOUBLE AS precision, recall::DOUBLE AS recall, f1::DOUBLE AS f1 FROM (VALUES ('a', 1, 2, 2, 0.333333333, 0.333333333, 0.333333333), ('b', 0, 1, 0, 0.0, 0.0, 0.0)) AS t(article_id, tp, fp, fn, precision, recall, f1)")
 def e2_edges_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.score_edges(_edges(spark), fuzzy=False))
 
 
-@query("SELECT * FROM (VALUES ('a', 2, 1, 1, 0.666666667, 0.666666667, 0.666666667), ('b', 0, 1, 0, 0.0, 0.0, 0.0)) AS t(article_id, tp, fp, fn, precision, recall, f1)")
+@query("SELECT article_id, tp, fp, fn, precision::DOUBLE AS precision, recall::DOUBLE AS recall, f1::DOUBLE AS f1 FROM (VALUES ('a', 2, 1, 1, 0.666666667, 0.666666667, 0.666666667), ('b', 0, 1, 0, 0.0, 0.0, 0.0)) AS t(article_id, tp, fp, fn, precision, recall, f1)")
 def e2_edges_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.score_edges(_edges(spark), fuzzy=True))
 

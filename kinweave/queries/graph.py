@@ -240,7 +240,7 @@ def u8_article_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.counts(left, told).withColumnsRenamed({"people": "articles", "relationships": "provenance"})
 
 
-@query("SELECT 'o' || o_orderkey AS article_id, o_orderpriority AS title, NULL AS body_hash, 0 AS chunks_processed FROM orders")
+@query("SELECT 'o' || o_orderkey AS article_id, o_orderpriority AS title, NULL::VARCHAR AS body_hash, 0 AS chunks_processed FROM orders")
 def u9_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = evolve_articles(articles_of(spark, sf_dir))
     return evolve_articles(once).select("article_id", "title", "body_hash", "chunks_processed")
