@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from kinweave.llm.tokens import encoder, release, slices
 
-KEPT_PIECES = 120_000
+KEPT_PIECES = 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
