@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from kinweave.llm.shingles import texts_words
 from kinweave.llm.tokens import release, slices
 
-LABELLED, POOL, ROUNDS, SURE, SHARE = 6000, 4000, 3, 0.97, 0.05
+LABELLED, POOL, ROUNDS, SURE, SHARE = 12_000, 4000, 3, 0.97, 0.05
 _BUCKETS = 128
 _CLASS = np.full(256, 9, dtype=np.int64)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n", b".", b",;:", b"!?", b"|")):
@@ -92,7 +92,7 @@ class Logistic:
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(keep), z.T @ (y - p) - keep * w)
             w += step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
         return cls(mean, scale, w)
 
