@@ -56,7 +56,6 @@ class Templates:
         self.entries = sorted(((g.total(), name, g, self._anchors(g)) for g, name in grams if g), key=lambda x: (x[0], x[1], sorted(x[2])))
         self.sizes = [x[0] for x in self.entries]
         self.anchors = frozenset().union(*(x[3] for x in self.entries)) if self.entries else frozenset()
-        self.shortest = self.entries[0][0] if self.entries else 0
 
     def _anchors(self, grams: Counter) -> frozenset[str]:
         m = grams.total()
@@ -73,17 +72,23 @@ class Templates:
             rest = Counter({g: n for g, n in rest.items() if best not in g})
         return frozenset(chosen)
 
+    def _within(self, n: int) -> range:
+        """Templates whose size a unit of n bigrams may match."""
+        t = self.least
+        return range(bisect_left(self.sizes, n * t / (2 - t) - 1e-9), bisect_right(self.sizes, n * (2 - t) / t + 1e-9))
+
     def best(self, unit: str) -> tuple[float, str] | None:
         words = _WORD.findall(unit.lower())
-        if len(words) <= self.shortest * self.least / (2 - self.least) or self.anchors.isdisjoint(words):
+        noted = _COPYRIGHT.search(unit)
+        if self.anchors.isdisjoint(words) or not (noted or self._within(len(words) - 1)):
             return None
-        grams = bigrams(unit)
-        n, t, found = grams.total(), self.least, None
-        for k in range(bisect_left(self.sizes, n * t / (2 - t) - 1e-9), bisect_right(self.sizes, n * (2 - t) / t + 1e-9)):
+        grams = bigrams(unit) if noted else Counter(zip(words, words[1:], strict=False))
+        found = None
+        for k in self._within(grams.total()):
             _, name, template, anchors = self.entries[k]
             if not anchors.isdisjoint(words):
                 got = dice(grams, template)
-                if got >= t and (found is None or (got, found[1]) > (found[0], name)):
+                if got >= self.least and (found is None or (got, found[1]) > (found[0], name)):
                     found = (got, name)
         return found
 
