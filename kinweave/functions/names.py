@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import strip
+from kinweave.functions.text import let, strip
 
 # Honorifics that normalisation drops.
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "sir", "dame", "lord", "lady", "rev", "gen", "col", "capt", "sgt", "cpl", "pvt", "jr", "sr")
@@ -51,14 +51,13 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 def ascii_fold(x: Column) -> Column:
-    """Compatibility decomposition, then ASCII alone."""
+    """Compatibility decomposition, then ASCII alone. Text that is ASCII already is only looked at."""
     one, to, several = _folds()
-    x = F.translate(x, one, to)
-    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
     table = F.create_map(*(F.lit(y) for pair in several.items() for y in pair))
-    spelt = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    x = F.when(x.rlike(rare), spelt).otherwise(x)
-    return F.regexp_replace(x, r"[^\x00-\x7f]", "")
+    other = r"[^\x00-\x7f]"
+    spell = lambda c: F.when(c > "\x7f", F.try_element_at(table, c)).otherwise(c)  # noqa: E731  null where nothing is left
+    rest = lambda y: F.when(y.rlike(other), F.array_join(F.transform(F.split(y, ""), spell), "")).otherwise(y)
+    return F.when(x.rlike(other), let(F.translate(x, one, to), rest)).otherwise(x)
 
 
 def normalize(name: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column | str) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(_col(x), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -39,11 +46,15 @@ def sentences(text: Column | str) -> Column:
 
 def chunks(parts: Column | str, size: Column | int) -> Column:
     """Groups of ``size`` consecutive sentences, joined by a space."""
-    parts, size = _col(parts), (F.lit(size) if isinstance(size, int) else size)
-    n = F.size(parts)
-    starts = F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)
-    joined = F.transform(starts, lambda i: F.array_join(F.slice(parts, i * size + 1, size), " "))
-    return F.when(n > 0, joined).otherwise(F.array().cast("array<string>"))
+    size = F.lit(size) if isinstance(size, int) else size
+
+    def cut(parts: Column) -> Column:
+        n = F.size(parts)
+        starts = F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1)
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(parts, i * size + 1, size), " "))
+        return F.when(n > 0, joined).otherwise(F.array().cast("array<string>"))
+
+    return let(_col(parts), cut)
 
 
 def chunk_size(requested: Column | str, default: int = DEFAULT_CHUNK) -> Column:
@@ -83,5 +94,4 @@ def published_at(meta: Column, time_attr: Column, time_text: Column, container:
 def distinct_names(names: Column | str) -> Column:
     """Names without repeats in another case, in order."""
     names = F.filter(F.transform(_col(names), clean), lambda x: x != "")
-    low = F.transform(names, F.lower)
-    return F.filter(names, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return let(names, lambda ns: let(F.transform(ns, F.lower), lambda low: F.filter(ns, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
