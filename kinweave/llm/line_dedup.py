@@ -6,6 +6,11 @@ document are a window, hashed to 128 bits. Of a window that is found at several
 first place, by doc_id and position, stays; the lines that later places cover are removed, whatever
 their number. Windows of fewer than ``LEAST_WORDS`` words are too common by chance and don't count.
 
+With ``passages``, lines are parted after every sentence end, however long they are, and runs of ``RUN``
+words count as windows too. A run begins at the leftmost smallest hash of every ``NEAR`` words in a row, which
+depends on the words nearby alone, so every passage of ``2 * NEAR - 2 + RUN`` = 50 words holds a run, the same
+one wherever it stands. What later places cover is then taken out of the text, the rest stays as it is.
+
 Null text stays null and has no lines; a document of fewer than three lines has no window. A null doc_id
 sorts first. Rows of equal doc_id and text are one document: they get the same decision. Extra columns
 stay as they are.
@@ -24,10 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.llm.shingles import mix, word_hashes
 from kinweave.llm.storage import Scratch
 from kinweave.llm.tokens import release
 
 LONG_LINE, LEAST_WORDS = 40, 10
+NEAR, RUN = 17, 18
+_CUT = re.compile(r"\n|(?<=[.!?]) +")
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SENTENCE = re.compile(r"(?<=[.!?]) +")
 _LEAST = -(1 << 63)
 
@@ -48,28 +57,105 @@ def windows_of(lines: list[str], least_words: int) -> list[tuple[int, bytes]]:
     return [(i, xxhash.xxh3_128_digest("\n".join(lines[i : i + 3]).encode("utf-8", "surrogatepass"))) for i in range(len(lines) - 2) if words[i] + words[i + 1] + words[i + 2] >= least_words]
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, *, least_words: int = LEAST_WORDS, scratch: Scratch | None = None) -> DataFrame:
+def _beginnings(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The words that begin runs: of every ``NEAR`` words in a row of one text, the leftmost smallest."""
+    n = len(hashes)
+    reach = np.ones(n, dtype=np.int64)
+    for left in (True, False):
+        alive = np.ones(n, dtype=bool)
+        for k in range(1, NEAR):
+            a, b = hashes[:-k], hashes[k:]
+            near = np.zeros(n, dtype=bool)
+            same = owner[:-k] == owner[k:]
+            if left:
+                near[k:] = same & (a > b)
+            else:
+                near[: max(n - k, 0)] = same & (b >= a)
+            alive &= near
+            reach += alive
+    return np.flatnonzero(reach >= NEAR)
+
+
+def runs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of words: text, first word in it, first byte and end byte in it, and 128 bits of hash."""
+    coded = [x.encode("utf-8", "surrogatepass") for x in texts]
+    hashes, firsts = word_hashes(b"\n".join(coded))
+    begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in coded])])
+    owner = np.searchsorted(begins, firsts, "right") - 1
+    starts = _beginnings(hashes, owner)
+    low = starts[starts + RUN <= len(hashes)]
+    low = low[owner[low] == owner[low + RUN - 1]]
+    ends = np.append(firsts, begins[-1])[low + RUN]
+    digest = []
+    for base in _BASES:
+        up = np.full(len(hashes) + 1, base, dtype=np.uint64)
+        down = np.full(len(hashes) + 1, pow(base, -1, 1 << 64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
+        digest.append(mix((sums[low + RUN] - sums[low]) * down[low]))
+    text = owner[low]
+    return text, low - np.searchsorted(firsts, begins)[text], firsts[low] - begins[text], np.minimum(ends, begins[text + 1] - 1) - begins[text], np.stack(digest, axis=1).view(np.int64)
+
+
+def without(text: str, places: list[int]) -> tuple[str, int]:
+    """The text without what the places cover (lines have even places, runs odd ones), and how many lines that touches."""
+    coded = text.encode("utf-8", "surrogatepass")
+    gone = np.zeros(len(coded), dtype=bool)
+    begins, at, last = [0], 0, 0
+    for m in _CUT.finditer(text):
+        at += len(text[last : m.end()].encode("utf-8", "surrogatepass"))
+        last = m.end()
+        begins.append(at)
+    _, words, low, high, _ = runs_of([text])
+    runs = dict(zip(words.tolist(), zip(low.tolist(), high.tolist(), strict=True), strict=True))
+    for place in places:
+        i = place >> 1
+        if place & 1:
+            a, b = runs[i]
+        else:
+            a, b = begins[i], begins[i + 3] if i + 3 < len(begins) else len(coded)
+        gone[a:b] = True
+    sums = np.concatenate([[0], np.cumsum(gone)])
+    touched = sum(1 for a, b in zip(begins, [*begins[1:], len(coded)], strict=True) if sums[b] > sums[a])
+    left = np.frombuffer(coded, dtype=np.uint8)[~gone].tobytes()
+    return left.decode("utf-8", "surrogatepass"), touched
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, *, least_words: int = LEAST_WORDS, passages: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """The columns of ``docs`` with removed lines gone from text, and n_lines and n_removed.
 
-    The kept lines of a changed document are joined by line feeds; other documents keep their text.
+    The kept lines of a changed document are joined by line feeds; other documents keep their text. With
+    ``passages``, n_removed counts the lines that lose anything.
     """
     scratch = scratch or Scratch(spark, "lines")
+    parted = _CUT.split if passages else lines_of
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 names, marks, places, digests = [], [], [], []
+                texts, owners = [], []
                 for name, text in zip(batch.column(0).slice(at, 512), batch.column(1).slice(at, 512), strict=True):
                     if (text := text.as_py()) is None:
                         continue
-                    if found := windows_of(lines_of(text), least_words):
-                        names.append(np.full(len(found), _LEAST if name.as_py() is None else name.as_py()))
-                        marks.append(np.full(len(found), zlib.crc32(text.encode("utf-8", "surrogatepass"))))
+                    owner = _LEAST if name.as_py() is None else name.as_py(), zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                    if found := windows_of(parted(text), least_words):
+                        names.append(np.full(len(found), owner[0]))
+                        marks.append(np.full(len(found), owner[1]))
                         places.append([x for x, _ in found])
                         digests += [x for _, x in found]
-                if not names:
-                    continue
+                    texts.append(text)
+                    owners.append(owner)
                 both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                if passages and texts:
+                    text, first, _, _, more = runs_of(texts)
+                    of = np.array(owners, dtype=np.int64)[text]
+                    places = [2 * np.array(x) for x in places] + [2 * first + 1]
+                    names, marks, both = [*names, of[:, 0]], [*marks, of[:, 1]], np.concatenate([both, more])
+                if not len(both):
+                    continue
                 columns = [both[:, 0], both[:, 1], np.concatenate(names), np.concatenate(marks), np.concatenate(places)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in columns], names=["h1", "h2", "name", "mark", "place"])
         release()
@@ -93,13 +179,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, least_words: int = LEAS
             texts, totals, gone = [], [], []
             for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
                 text, places = text.as_py(), places.as_py()
-                lines = lines_of(text) if text is not None else []
-                covered = {i + k for i in places or () for k in range(3)}
-                if covered:
+                lines = parted(text) if text is not None else []
+                covered = {i + k for i in places or () for k in range(3)} if not passages else ()
+                if passages and places:
+                    text, lost = without(text, places)
+                elif covered:
                     text = "\n".join(x for i, x in enumerate(lines) if i not in covered)
                 texts.append(text)
                 totals.append(len(lines))
-                gone.append(len(covered))
+                gone.append(lost if passages and places else len(covered))
             yield pa.RecordBatch.from_arrays([*(batch.column(x.name) for x in fields), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=[*(x.name for x in fields), "text", "n_lines", "n_removed"])
 
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])

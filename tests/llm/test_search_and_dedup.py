@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from kinweave.llm import decontamination, license_scan, line_dedup, ngram_jaccard, vector_dedup
 from kinweave.llm.components import connected_components
 from kinweave.llm.shingles import shingle_sets, texts_words
@@ -128,6 +129,31 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_every_passage_of_50_words_holds_a_run():
+    rng = random.Random(8)
+    for k in range(300):
+        passage = rng.choices([f"w{i}" for i in range(rng.choice([1, 2, 9, 4000]))], k=50)
+        around = [[f"x{rng.randrange(5000)}" for _ in range(rng.randint(0, 30))] for _ in range(4)]
+        a, b = (" ".join(x + passage + y) for x, y in (around[:2], around[2:]))
+        text, _, _, _, digests = line_dedup.runs_of([a, "", b, "é " * k])
+        assert {tuple(x) for x in digests[text == 0].tolist()} & {tuple(x) for x in digests[text == 2].tolist()}, k
+
+
+def test_pipeline_removes_passages_planted_in_mid_sentence(spark):
+    rng = random.Random(3)
+    foreign = lambda n: " ".join(f"é{rng.randrange(10**6)}" for _ in range(n))
+    passage = " ".join(f"p{i}" + "." * (i in (24, 30)) for i in range(51))
+    rows = [(i, f"{foreign(3 + i)} {passage} {foreign(40 - 3 * i)}\n{foreign(5)}. {foreign(6)}") for i in range(6)] + [(6, passage), (7, None), (None, "")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()}
+    longest = lambda text: max((j - i for i in range(51) for j in range(i + 1, 52) if " ".join(passage.split()[i:j]) in text), default=0)
+    assert got[0] == rows[0][1] and got[7] is None and got[None] == ""
+    for i, text in rows[1:6]:
+        assert longest(got[i]) < 50 and len(got[i].split()) < len(text.split())
+        assert [w for w in got[i].split() if w[0] == "é"] == [w for w in text.split() if w[0] == "é"] and got[i].count("\n") == 1
+    assert longest(got.get(6, "")) < 50
+
+
 def test_decontamination_finds_substituted_passages(spark):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(5000)]
