@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier places have; what is left empty by that goes."""
-    cleaned = line_dedup.dedup_lines(spark, docs, passages=True)
+    cleaned = line_dedup.dedup_lines(spark, docs, least_words=0, passages=True)
     cleaned = cleaned.where(~((F.col("n_removed") > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

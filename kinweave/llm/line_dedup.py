@@ -10,6 +10,7 @@ With ``passages``, lines are parted after every sentence end, however long they
 words count as windows too. A run begins at the leftmost smallest hash of every ``NEAR`` words in a row, which
 depends on the words nearby alone, so every passage of ``2 * NEAR - 2 + RUN`` = 50 words holds a run, the same
 one wherever it stands. What later places cover is then taken out of the text, the rest stays as it is.
+With ``least_words=0`` every window of three lines counts, however short, but for windows of blank lines.
 
 Null text stays null and has no lines; a document of fewer than three lines has no window. A null doc_id
 sorts first. Rows of equal doc_id and text are one document: they get the same decision. Extra columns
@@ -53,8 +54,8 @@ def lines_of(text: str) -> list[str]:
 
 def windows_of(lines: list[str], least_words: int) -> list[tuple[int, bytes]]:
     """(position, digest) of the windows that count."""
-    words = [x.count(" ") + 1 for x in lines]
-    return [(i, xxhash.xxh3_128_digest("\n".join(lines[i : i + 3]).encode("utf-8", "surrogatepass"))) for i in range(len(lines) - 2) if words[i] + words[i + 1] + words[i + 2] >= least_words]
+    words = [x.count(" ") + 1 for x in lines] if least_words else [int(bool(x.strip())) for x in lines]
+    return [(i, xxhash.xxh3_128_digest("\n".join(lines[i : i + 3]).encode("utf-8", "surrogatepass"))) for i in range(len(lines) - 2) if words[i] + words[i + 1] + words[i + 2] >= max(least_words, 1)]
 
 
 def _beginnings(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:

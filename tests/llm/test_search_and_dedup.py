@@ -154,6 +154,13 @@ def test_pipeline_removes_passages_planted_in_mid_sentence(spark):
     assert longest(got.get(6, "")) < 50
 
 
+def test_pipeline_removes_short_repeated_lines(spark):
+    menu, blank = "Home\nNews\nLog in\n", " \n\n\n"
+    rows = [(1, menu + "First body"), (2, "of.\n" * 6 + "x"), (3, menu + "Second body"), (4, "a\n" + blank + "b"), (5, "c\n" + blank + "d")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {1: rows[0][1], 2: "of.\nx", 3: "Second body", 4: rows[3][1], 5: rows[4][1]}
+
+
 def test_decontamination_finds_substituted_passages(spark):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(5000)]
