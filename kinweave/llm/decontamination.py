@@ -6,7 +6,8 @@ those of the documents in the scan of the documents: the items' hashes are an in
 tasks, in slices of at most ``SLICE_CHARS`` of benchmark text (one scan for each slice), so no broadcast
 grows with the benchmark. Around a hit, the item and the document are compared word by word: a document
 is contaminated where ``WINDOW`` aligned words (or a shorter item whole) have at least ``LEAST_SHARE`` of
-their words in common, which holds for 12 equal words in a row as well as for one substitution in four.
+their words in common, which holds for 12 equal words in a row as well as for one substitution in four. The masks are chosen by
+enumeration: whichever words are substituted in a window that passes, of 8 to 16 words, one mask fits.
 
 Words are runs of letters and digits, without regard to case. Items of fewer than ``LEAST_WORDS`` words,
 null items and null texts match nothing. All columns of the documents stay; repeated rows are judged one
@@ -15,7 +16,6 @@ by one.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,8 @@ from kinweave.llm.shingles import _PLACES, mix, texts_words
 from kinweave.llm.storage import Scratch
 from kinweave.llm.tokens import release, slices
 
-MASKS = ("1110010011", "1101100101", "1010111001")
-WINDOW, LEAST_SHARE, LEAST_WORDS, SLICE_CHARS = 16, 0.75, 8, 1 << 25
+MASKS = ("111011", "11001011", "11111", "101111", "11110001", "10100111", "11010101")
+WINDOW, LEAST_SHARE, LEAST_WORDS, SLICE_CHARS = 16, 0.75, 8, 1 << 24
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("words", T.LongType()), T.StructField("equal", T.LongType())]))
 _HITS_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("equal", pa.int64())]))
 
@@ -71,9 +71,9 @@ class SeedIndex:
         self.there = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.there[self.hashes >> self.shift] = True
 
-    def diagonals(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, first word of the item's in the stream) of all hits."""
-        items, firsts = [], []
+    def diagonals(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Distinct (item, first word of the item's in the stream, text of the hit) of all hits."""
+        items, firsts, texts = [], [], []
         for mask, span in self.masks:
             got = _seeds(words, mask, span)
             place = np.flatnonzero(self.there[got >> self.shift])
@@ -82,8 +82,8 @@ class SeedIndex:
             entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.zeros(0, dtype=np.int64)
             items.append(self.owners[entry])
             firsts.append(np.repeat(place, many) - self.places[entry])
-        both = np.unique(np.stack([np.concatenate(items), np.concatenate(firsts)]), axis=1)
-        return both[0], both[1]
+            texts.append(np.searchsorted(ends, np.repeat(place, many), "right") - 1)
+        return np.unique(np.stack([np.concatenate(items), np.concatenate(firsts), np.concatenate(texts)]), axis=1)
 
     def verify(self, item: int, words: np.ndarray, first: int) -> tuple[int, int, int] | None:
         """(first word, words, equal words) of what an alignment shares, from the first good window to the last."""
@@ -104,12 +104,11 @@ class SeedIndex:
         words, at = texts_words(texts, letters=True)
         out: list[list[dict]] = [[] for _ in texts]
         ends = at.tolist()
-        for item, first in zip(*(x.tolist() for x in self.diagonals(words)), strict=True):
+        for item, first, doc in self.diagonals(words, at).T.tolist():
             # a seed lies in one text, or is of no worth
-            for doc in {bisect.bisect_right(ends, max(first, 0)) - 1, bisect.bisect_right(ends, min(first + len(self.words[item]) - 1, len(words) - 1)) - 1}:
-                found = self.verify(item, words[ends[doc] : ends[doc + 1]], first - ends[doc])
-                if found:
-                    out[doc].append({"item_id": self.ids[item], "start": found[0], "words": found[1], "equal": found[2]})
+            found = self.verify(item, words[ends[doc] : ends[doc + 1]], first - ends[doc])
+            if found:
+                out[doc].append({"item_id": self.ids[item], "start": found[0], "words": found[1], "equal": found[2]})
         return out
 
 

@@ -1,6 +1,8 @@
 """Licences, joins on shingles, line dedup, decontamination and vectors against brute force."""
 
 import collections
+import itertools
+import math
 import random
 import re
 
@@ -191,6 +193,21 @@ def test_decontamination_finds_substituted_passages(spark):
     assert decontamination.find_passages(spark, df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", range(8, 17))
+def test_decontamination_has_a_seed_for_every_substitution(n):
+    item = [f"i{k}" for k in range(n)]
+    index = decontamination.SeedIndex([(1, " ".join(item))])
+    gone = list(itertools.combinations(range(n), n - math.ceil(0.75 * n)))
+    texts = [" ".join(["lead", *("other" if k in out else x for k, x in enumerate(item)), "tail"]) for out in gone]
+    assert [len(x) for x in index.hits(texts)] == [1] * len(gone)
+
+
+def test_decontamination_finds_the_middle_of_an_item_between_short_texts():
+    item = [f"i{k}" for k in range(60)]
+    got = decontamination.SeedIndex([(1, " ".join(item))]).hits(["a b", " ".join(item[20:40]), "c d", None])
+    assert [[(h["item_id"], h["start"], h["words"]) for h in x] for x in got] == [[], [(1, 0, 20)], [], []]
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "SLICE_CHARS", 60)
     text = lambda i: " ".join(f"v{i}x{k}" for k in range(20))
