@@ -1,9 +1,12 @@
 """Licence scan: units of text against templates by the Dice coefficient of their word bigrams.
 
-Units are a document's whole text, its paragraphs, its lines and its sentences, normalised: lower case,
+Units are a document's whole text, its paragraphs, its lines, its sentences and its runs of consecutive
+lines (so of paragraphs too), normalised: lower case,
 letters and digits alone, copyright lines dropped. A template meets only the units whose number of
 bigrams lies within the bounds that the threshold puts on sizes, and that hold one of its anchors: words
-chosen so that a unit without any of them shares too few bigrams. Neither bound loses a match. Of the
+chosen so that a unit without any of them shares too few bigrams. A run is a unit only if enough of its
+bigrams are in any template. Neither bound loses a match. A run whose first or last line has no bigram in
+any template is no unit either: it is less similar than the run without that line. Of the
 templates that a unit reaches, the most similar names its licence; of overlapping units, the most
 similar stays.
 
@@ -55,6 +58,7 @@ class Templates:
         grams = [(bigrams(t), name) for name, all_texts in texts.items() for t in all_texts]
         self.entries = sorted(((g.total(), name, g, self._anchors(g)) for g, name in grams if g), key=lambda x: (x[0], x[1], sorted(x[2])))
         self.sizes = [x[0] for x in self.entries]
+        self.grams = frozenset().union(*(x[2] for x in self.entries)) if self.entries else frozenset()
         self.anchors = frozenset().union(*(x[3] for x in self.entries)) if self.entries else frozenset()
 
     def _anchors(self, grams: Counter) -> frozenset[str]:
@@ -92,6 +96,38 @@ class Templates:
                     found = (got, name)
         return found
 
+    def runs(self, text: str) -> list[tuple[int, int]]:
+        """Runs of two lines or more that may match a template, whatever stands between them."""
+        lines, words, at = [], [], 0
+        dropped = [m.span() for m in _COPYRIGHT.finditer(text)]
+        for m in [*_LINE.finditer(text), None]:
+            end = m.start() if m else len(text)
+            while dropped and dropped[0][1] <= at:
+                dropped.pop(0)
+            own = [] if dropped and dropped[0][0] < end else _WORD.findall(text[at:end].lower())
+            if own:
+                lines.append((at, end, len(words), len(words) + len(own)))
+                words += own
+            at = end + 1
+        hits = [0]
+        for gram in zip(words, words[1:], strict=False):
+            hits.append(hits[-1] + (gram in self.grams))
+        if not hits[-1] or len(lines) < 2:
+            return []
+        t = self.least
+        share, most = t / (2 - t), self.sizes[-1] * (2 - t) / t + 1e-9
+        useful = [hits[min(b, len(hits) - 1)] > hits[max(a - 1, 0)] for _, _, a, b in lines]
+        out = []
+        for i, (start, _, a, _) in enumerate(lines):
+            if useful[i]:
+                for j in range(i + 1, len(lines)):
+                    b = lines[j][3]
+                    if b - 1 - a > most:
+                        break
+                    if useful[j] and hits[b - 1] - hits[a] >= share * (b - 1 - a) - 1e-9:
+                        out.append((start, lines[j][1]))
+        return out
+
     def scan(self, text: str | None) -> list[dict]:
         """The most similar matches that don't overlap, by place."""
         if not text:
@@ -105,6 +141,7 @@ class Templates:
                 units.add((at, m.start()))
                 at = m.end()
             units.add((at, len(text)))
+        units.update(self.runs(text))
         found = [(-got[0], a, b, got[1]) for a, b in units if b > a and (got := self.best(text[a:b]))]
         out: list[dict] = []
         for minus, a, b, name in sorted(found, key=lambda x: (x[0], x[1] - x[2], x[1])):

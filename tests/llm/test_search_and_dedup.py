@@ -243,6 +243,22 @@ def test_licences_equal_brute_force(spark):
     assert got == {0: [("CC-BY-NC-4.0", 7, 35)], 1: [("MIT", 0, len(every[3]))]}
 
 
+@pytest.mark.parametrize("blank", ["\n\n", "\n"])
+def test_licences_of_several_paragraphs_in_other_text(blank):
+    scan = license_scan.Templates()
+    other = ["The river runs by the house and the field.", "A stone lies in the water of the road."]
+    for name, which, cuts in (("MIT", 3, ("The above", "THE SOFTWARE IS")), ("BSD-2-Clause", 2, ("1. R", "2. R", "THIS SOFTWARE IS")), ("BSD-3-Clause", 2, ("1. R", "2. R", "3. N", "THIS SOFTWARE IS"))):
+        body = license_scan.TEMPLATES[name][which]
+        for cut in cuts:
+            body = body.replace(" " + cut, blank + cut)
+        for lead in (blank, blank + "Copyright (c) 2020 Jane Doe" + blank):
+            text = blank.join(other) + lead + body + blank + blank.join(other)
+            got = [(x["licence"], text[x["start"] : x["end"]], x["dice"]) for x in scan.scan(text)]
+            assert got == [(name, body, 1.0)]
+            text = text.replace("copies", "items").replace("conditions", "terms")
+            assert [x["licence"] for x in scan.scan(text)] == [name]
+
+
 def vectors_brute(rows):
     good = [k for k, (d, v) in enumerate(rows) if d is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     links = []
