@@ -1,35 +1,36 @@
 """Token ids of documents in canonical-Huffman files, in ascending doc_id order, and back.
 
 Writing takes three narrow steps round one shuffle: ids are found and dealt to ranges of doc_id whose
-bounds come from quantiles of that column; global counts give one length-limited code; each range's
-task writes independent blocks. A block decodes alone: it holds its documents' ids and lengths and the
+bounds come from quantiles of that column (at most ``MOST_RANGES``); global counts give one length-limited
+code; each range's task writes independent blocks. A block decodes alone: it holds its documents' ids and lengths and the
 bit offset of every ``STRIDE``-th id, from which a reader can start. The files are Parquet tables of
-such blocks, so Spark's committers make them whole after a lost executor and any Hadoop store holds them.
+such blocks, so Spark's committers make them whole after a lost executor and any Hadoop store holds them;
+they are written where the caller says, else under the shared folder.
 
 Order: doc_id with nulls first, then a hash of the text, so ties and repeated rows have a fixed place up
-to equal rows. A null text counts as empty and holds the end id alone. Extra columns are not read.
+to equal rows. A null text counts as empty and holds the end id alone; a very long one is a block of its
+own. An empty table gives files without a block. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.huffman import Code, code_lengths
 from kinweave.llm.storage import Scratch, deal, plan_bytes, shuffle_width
-from kinweave.llm.tokens import encoder, slices
+from kinweave.llm.tokens import encoder, parts, release, with_end
 
-STRIDE, BLOCK_IDS, MAGIC = 256, 1 << 18, b"KWH1"
+STRIDE, BLOCK_IDS, MAGIC, MOST_RANGES = 256, 1 << 18, b"KWH1", 1 << 14
 _HEAD = struct.Struct("<4sIQII")  # magic, documents, ids, checkpoints, stride
 _LEAST = -(1 << 63)
 
@@ -42,16 +43,17 @@ class IdFiles:
     codebook: str
 
 
-def write_block(code: Code, doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, dtype=np.int64)
+def write_block(code: Code, doc_ids: list[int | None], lengths: np.ndarray, flat: np.ndarray) -> bytes:
+    """A block of documents whose ids lie one after another in ``flat``."""
     bits, offsets = code.encode(flat, STRIDE)
-    head = _HEAD.pack(MAGIC, len(ids), len(flat), len(offsets), STRIDE)
+    head = _HEAD.pack(MAGIC, len(doc_ids), len(flat), len(offsets), STRIDE)
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     names = np.array([x or 0 for x in doc_ids], dtype="<i8")
-    return head + known.tobytes() + names.tobytes() + np.array([len(x) for x in ids], dtype="<u4").tobytes() + offsets.astype("<u8").tobytes() + bits
+    return head + known.tobytes() + names.tobytes() + lengths.astype("<u4").tobytes() + offsets.astype("<u8").tobytes() + bits
 
 
-def read_block(code: Code, data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
+def read_block(code: Code, data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, lengths and all ids of a block."""
     magic, docs, count, points, stride = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a block of ids")
@@ -61,43 +63,44 @@ def read_block(code: Code, data: bytes) -> tuple[list[int | None], list[np.ndarr
     lengths = np.frombuffer(data, dtype="<u4", count=docs, offset=(at := at + 8 * docs))
     offsets = np.frombuffer(data, dtype="<u8", count=points, offset=(at := at + 4 * docs))
     flat = code.decode(data[at + 8 * points :], count, offsets, stride)
-    return [int(x) if k else None for x, k in zip(names, known, strict=True)], np.split(flat, np.cumsum(lengths)[:-1].astype(np.int64)) if docs else []
+    return [x if k else None for x, k in zip(names.tolist(), known.tolist(), strict=True)], lengths.astype(np.int64), flat
 
 
 def _range_bounds(docs: DataFrame, ranges: int) -> list[int]:
     """Quantiles of doc_id; a value that many rows share is there more than once."""
     ids = docs.select(F.coalesce("doc_id", F.lit(_LEAST)).cast("long").alias("doc_id"))
-    return [int(x) for x in ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []] if ranges > 1 else []
+    return [int(x) for x in ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []] if ranges > 1 else []
 
 
-def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: int = 2, scratch: Scratch | None = None) -> IdFiles:
-    """Encodes doc_id and text of ``docs`` into files under the shared folder."""
+def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: int = 2, path: str | None = None, scratch: Scratch | None = None) -> IdFiles:
+    """Encodes doc_id and text of ``docs`` into files in the folder ``path``."""
     scratch = scratch or Scratch(spark, "ids")
     docs = docs.select("doc_id", "text")
-    width = max(2 * shuffle_width(spark), plan_bytes(docs) >> 26)
+    width = max(2 * shuffle_width(spark), min(plan_bytes(docs) >> 26, MOST_RANGES))
     bounds = _range_bounds(docs, width)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer)
-        total = np.zeros(tokens.size, dtype=np.int64)
+        tokens, cuts = encoder(tokenizer), np.array(bounds, dtype=np.int64)
+        total, item = np.zeros(tokens.size, dtype=np.int64), tokens.dtype.itemsize
         for batch in batches:
-            for first, texts in slices(batch.column(1), 4096, 1 << 22):
-                ids = [np.append(x, x.dtype.type(end_id)) for x in tokens.encode_all(texts)]
-                names = batch.column(0).slice(first, len(texts))
-                marks = [zlib.crc32((x or "").encode()) for x in texts]
-                keys = [_LEAST if x is None else x for x in names.to_pylist()]
-                to = [(a := bisect_left(bounds, k)) + (m * (bisect_right(bounds, k) - a + 1) >> 32) for k, m in zip(keys, marks, strict=True)]
-                total += np.bincount(np.concatenate(ids), minlength=len(total))
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), names.cast(pa.int64()), pa.array(marks, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(to), pa.binary())], schema=_IDS)
+            for part in parts(batch, "text", most_bytes=1 << 23):
+                ids, ends = with_end(*tokens.encode_flat(part["text"]), end_id)
+                marks = np.array([zlib.crc32(x.as_buffer()) if x.is_valid else 0 for x in part["text"]], dtype=np.int64)
+                names = part["doc_id"].cast(pa.int64())
+                keys = pc.fill_null(names, _LEAST).to_numpy()
+                low, high = (np.searchsorted(cuts, keys, side) for side in ("left", "right"))
+                to = low + (marks * (high - low + 1) >> 32)
+                total += np.bincount(ids, minlength=len(total))
+                offsets = np.concatenate([[0], ends * item]).astype(np.int32)
+                coded = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), names, pa.array(marks), coded, pa.nulls(len(to), pa.binary())], schema=_IDS)
         if (at := np.flatnonzero(total)).size:  # the task's counts travel with its ids, in a column of their own
             sums = np.stack([at, total[at]]).astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((TaskContext.get().partitionId() % width, None, None, None, sums), _IDS, strict=True)], schema=_IDS)
+        release()
 
     found = docs.mapInArrow(tokenise, _IDS_DDL)
     sorted_ids, sorted_at = scratch.write(deal(found, width, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "mark"), "ids")
-    del found
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the shuffle's files are of no more use
     size = encoder(tokenizer).size
     kind = encoder(tokenizer).dtype
 
@@ -115,35 +118,48 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, task = Code(np.frombuffer(sent.value, dtype=np.uint8)), TaskContext.get().partitionId()
+        run, within, block = None, 0, 0
         names: list[int | None] = []
-        held: list[np.ndarray] = []
-        run, within, block, many, first_mark = None, 0, 0, 0, 0
+        held: list[np.ndarray] = []  # runs of ids, and their documents' lengths
+        sizes: list[np.ndarray] = []
+        many = first_mark = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal within, block, many
-            row = [run, task, block, names[0], first_mark, within, many, write_block(code, names, held)]
-            out = pa.RecordBatch.from_pylist([dict(zip(_BLOCKS.names, row, strict=True))], schema=_BLOCKS)
+            row = [run, task, block, names[0], first_mark, within, many, write_block(code, names, np.concatenate(sizes), np.concatenate(held))]
+            out = pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
             within, block, many = within + many, block + 1, 0
-            names.clear()
-            held.clear()
+            for x in (names, held, sizes):
+                x.clear()
             return out
 
         for batch in batches:
-            for to, name, mark, ids in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if held and (to.as_py() != run or many >= BLOCK_IDS):
+            ids = batch.column(3)
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // kind.itemsize
+            flat = np.frombuffer(ids.buffers()[2], kind, count=int(ends[-1]))
+            to, marks, own = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_pylist()
+            at = 0
+            while at < len(to):
+                if names and (to[at] != run or many >= BLOCK_IDS):
                     yield flush()
-                if to.as_py() != run:
-                    run, within = to.as_py(), 0
-                if not held:
-                    first_mark = mark.as_py()
-                names.append(name.as_py())
-                held.append(np.frombuffer(ids.as_py(), dtype=kind))
+                if to[at] != run:
+                    run, within = int(to[at]), 0
+                if not names:
+                    first_mark = int(marks[at])
+                same = at + int(np.argmax(np.append(to[at:] != run, True)))
+                until = min(max(int(np.searchsorted(ends, ends[at] + BLOCK_IDS - many)), at + 1), same)
+                names += own[at:until]
+                held.append(flat[ends[at] : ends[until]].copy())  # the batch goes, the block stays
+                sizes.append(np.diff(ends[at : until + 1]))
                 many += len(held[-1])
-        if held:
+                at = until
+        if names:
             yield flush()
+        release()
 
-    _, blocks = scratch.write(sorted_ids.where("ids is not null").select("range", "doc_id", "mark", "ids").mapInArrow(encode, _BLOCKS_DDL), "blocks")
-    _, book = scratch.write(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"), "codebook")
+    blocks, book = (f"{path}/{x}" if path else scratch.path(x) for x in ("blocks", "codebook"))
+    sorted_ids.where("ids is not null").select("range", "doc_id", "mark", "ids").mapInArrow(encode, _BLOCKS_DDL).write.option("compression", "none").parquet(blocks)
+    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(book)
     scratch.drop(sorted_at)
     return IdFiles(blocks, book)
 
@@ -177,10 +193,17 @@ def read_ids(spark: SparkSession, files: IdFiles, *, digest: bool = False) -> Da
         code, starts = Code(np.frombuffer(sent.value[0], dtype=np.uint8)), sent.value[1]
         for batch in batches:
             for to, task, within, data in zip(*(batch.column(i) for i in range(4)), strict=True):
-                names, ids = read_block(code, data.as_py())
-                lens = [len(x) for x in ids]
-                begins = starts[to.as_py(), task.as_py()] + within.as_py() + np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(begins, pa.int64()), pa.array(lens, pa.int64()), last([x.astype("<u4") for x in ids])], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                names, lens, flat = read_block(code, data.as_buffer())
+                ends = np.cumsum(lens)
+                begins = starts[to.as_py(), task.as_py()] + within.as_py() + ends - lens
+                whole = flat.astype("<u4", copy=False)
+                offsets = np.concatenate([[0], 4 * ends])
+                if digest:
+                    seen, at = memoryview(whole).cast("B"), offsets.tolist()
+                    ids = pa.array([zlib.crc32(seen[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64())
+                else:
+                    ids = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(whole)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(begins, pa.int64()), pa.array(lens, pa.int64()), ids], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+        release()
 
-    last = (lambda ids: pa.array([zlib.crc32(x) for x in ids], pa.int64())) if digest else (lambda ids: pa.array([x.tobytes() for x in ids], pa.binary()))
     return blocks.select("range", "task", "within", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))

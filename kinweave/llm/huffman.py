@@ -44,43 +44,49 @@ class Code:
         self.longest = int(bits[-1]) if len(bits) else 1
         steps = 1 << (self.longest - bits)
         first = np.concatenate([[0], np.cumsum(steps)[:-1]]) if len(bits) else np.zeros(0, dtype=np.int64)
-        self.codes = np.zeros(len(lengths), dtype=np.uint64)
-        self.codes[order] = (first >> (self.longest - bits)).astype(np.uint64)
-        self.table = np.zeros(1 << self.longest, dtype=np.uint32)
-        filled = np.repeat(order, steps)
-        self.table[: len(filled)] = filled
-        self.table_bits = np.ones(1 << self.longest, dtype=np.uint8)
-        self.table_bits[: len(filled)] = np.repeat(bits, steps)
+        self.codes = np.zeros(len(lengths), dtype=np.uint32)
+        self.codes[order] = (first >> (self.longest - bits)).astype(np.uint32)
+        self.table = np.ones(1 << self.longest, dtype=np.int64)  # an id and its bits
+        self.table[: int(steps.sum())] = np.repeat(order << 5 | bits, steps)
 
     def encode(self, ids: np.ndarray, stride: int) -> tuple[bytes, np.ndarray]:
-        """The bits, first bit highest, and the bit offset of every stride-th id."""
+        """The bits, first bit highest, and the bit offset of every stride-th id; the stride is a multiple of 4."""
         if not len(ids):
             return b"", np.zeros(0, dtype=np.uint64)
-        bits = self.lengths[ids].astype(np.int64)
+        pad = -len(ids) % 4
+        code, bits = (np.append(x[ids], np.zeros(pad, dtype=x.dtype)) for x in (self.codes, self.lengths))
+        for _ in range(2):  # codes of 16 bits at most: four fit a word
+            code = (code[::2].astype(np.uint64) << bits[1::2].astype(np.uint64)) | code[1::2]
+            bits = bits[::2] + bits[1::2]
+        bits = bits.astype(np.int64)
         ends = np.cumsum(bits)
         begins = ends - bits
-        word, shift, code = begins >> 6, 64 - (begins & 63) - bits, self.codes[ids]
-        fits = shift >= 0
-        high = np.where(fits, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64))
+        word, shift = begins >> 6, 64 - (begins & 63) - bits
+        over = np.flatnonzero(shift < 0)
+        high = code << np.maximum(shift, 0).astype(np.uint64)
+        high[over] = code[over] >> (-shift[over]).astype(np.uint64)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         words = np.zeros(int((ends[-1] + 63) >> 6) + 1, dtype=np.uint64)
         words[word[starts]] = np.add.reduceat(high, starts)
-        over = np.flatnonzero(~fits)
         words[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: int(ends[-1] + 7) >> 3], begins[::stride].astype(np.uint64)
+        return words.astype(">u8").tobytes()[: int(ends[-1] + 7) >> 3], begins[:: stride // 4].astype(np.uint64)
 
     def decode(self, data: bytes, count: int, offsets: np.ndarray, stride: int) -> np.ndarray:
         """All ids of a block: the runs between checkpoints are read side by side, one table lookup an id."""
         if not count:
             return np.zeros(0, dtype=np.uint32)
-        raw = np.frombuffer(data + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
-        window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-        lanes = len(offsets)
-        out = np.zeros((stride, lanes), dtype=np.uint32)
-        at, mask, left = offsets.astype(np.int64), np.uint32((1 << self.longest) - 1), 32 - self.longest
-        last = len(window) - 1
-        for step in range(min(stride, count)):
-            key = (window[np.minimum(at >> 3, last)] >> (left - (at & 7)).astype(np.uint32)) & mask
-            out[step] = self.table[key]
-            at += self.table_bits[key]
-        return out.T.reshape(-1)[:count]
+        raw = np.frombuffer(bytes(data) + b"\0" * 8, dtype=np.uint8)
+        window = np.ndarray(len(raw) - 3, dtype=">u4", buffer=raw, strides=(1,)).astype(np.int64)  # the four bytes from each byte on
+        out = np.zeros((min(stride, count), len(offsets)), dtype=np.int64)
+        at, mask, left = offsets.astype(np.int64), (1 << self.longest) - 1, 32 - self.longest
+        last = (len(window) - 1) << 3
+        for row in out:
+            key = window.take(at >> 3)
+            key >>= left - (at & 7)
+            key &= mask
+            self.table.take(key, out=row, mode="clip")
+            at += row & 31
+            if at[-1] > last:  # only the last run may be shorter
+                at[-1] = last
+        out >>= 5
+        return out.T.reshape(-1)[:count].astype(np.uint32)
