@@ -1,14 +1,15 @@
 """Packing of token documents into windows by Karmarkar-Karp multiway differencing.
 
-Each scan task packs its own documents in groups of about ``group`` tails; nothing is shuffled, so the
-plan is one narrow stage at any size. Within a group, pieces of a whole window fill windows alone. The
-tails are differenced: the two partial partitions with the largest imbalances merge with their windows in
-opposite order, until one partition is left, whose windows are near-equal. It is made for
-floor(sum / capacity) windows; what a window holds beyond its capacity is cut off and differenced again,
-so the window count rises whenever capacity is exceeded. The rest of less than a window is stored in
-windows whose sizes are powers of two, which need no padding.
-
-Null text counts as empty: one piece that holds the end id. Repeated rows and ids are packed one by one.
+Each scan task packs its own documents in groups of ``group``; nothing is shuffled, so the plan is one
+narrow stage at any size. Documents longer than a window are cut at its multiples, and pieces of a whole
+window fill windows alone; no other document is cut. The rest, one tail of a document each, is differenced:
+the two partial partitions with the largest imbalances merge with their windows in opposite order, until
+one partition is left, whose windows are near-equal. The first window count is the least that could hold
+the tails, and it rises as long as a window exceeds its capacity.
+
+Null text counts as empty: one piece that holds the end id. Very long texts are cut as above. Repeated rows
+and ids, and ties of length, are packed one by one. An empty table gives no row. Extra columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from kinweave.llm.tokens import encoder, release, slices
+from kinweave.llm.tokens import encoder, parts, release, with_end
 
 KEPT_PIECES = 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -30,34 +31,28 @@ _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Karmarkar-Karp: the indexes of ``sizes`` in each of ``windows`` near-equal parts."""
-    if windows == 1:
-        return [list(range(len(sizes)))]
-    follow = np.full(len(sizes), -1, dtype=np.int64)
-    heap = []
-    for i, size in enumerate(sizes):
-        sums, head = np.zeros(windows, dtype=np.int64), np.full(windows, -1, dtype=np.int64)
-        sums[0], head[0] = size, i  # sums fall from first to last
-        heap.append((-int(size), i, sums, head, head.copy()))
+    """Karmarkar-Karp: the indexes of ``sizes`` in each of ``windows`` near-equal parts.
+
+    A partial partition lists its parts that hold anything, the largest sum first. While two of them have
+    few enough, the parts of one only meet empty ones of the other.
+    """
+    heap: list[tuple] = [(-size, i, [size], [[i]]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, tie, s, h, t = heapq.heappop(heap)
-        _, _, s2, h2, t2 = heapq.heappop(heap)
-        s2, h2, t2 = s2[::-1], h2[::-1], t2[::-1]
-        both = (h >= 0) & (h2 >= 0)
-        follow[t[both]] = h2[both]
-        head, tail, sums = np.where(h >= 0, h, h2), np.where(h2 >= 0, t2, t), s + s2
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), tie, sums, head[order], tail[order]))
-    out = []
-    for i in heap[0][3].tolist() if heap else [-1] * windows:
-        part = []
-        while i >= 0:
-            part.append(i)
-            i = int(follow[i])
-        out.append(part)
-    return out
+        _, tie, sums, parts = heapq.heappop(heap)
+        _, _, sums2, parts2 = heapq.heappop(heap)
+        free = windows - len(sums)
+        sums, parts = sums + sums2[:free], parts + parts2[:free]
+        # what is left over of the second, smallest last, meets the smallest of the first
+        for k, (size, part) in enumerate(zip(sums2[free:], parts2[free:], strict=True)):
+            at = windows - free - 1 - k
+            sums[at] += size
+            parts[at] = parts[at] + part
+        order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
+        sums, parts = [sums[i] for i in order], [parts[i] for i in order]
+        heapq.heappush(heap, ((sums[-1] if len(sums) == windows else 0) - sums[0], tie, sums, parts))
+    found = heap[0][3] if heap else []
+    return found + [[] for _ in range(windows - len(found))]
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
@@ -67,48 +62,16 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
         for start in range(0, n, capacity):
             piece = (doc, start, min(capacity, n - start))
             (out.append([piece]) if piece[2] == capacity else tails.append(piece))
-    while (total := sum(x[2] for x in tails)) >= capacity:
-        windows = [[tails[i] for i in part] for part in difference([x[2] for x in tails], total // capacity)]
-        tails, short = [], []
-        for window in windows:
-            over = sum(x[2] for x in window) - capacity
-            window.sort(key=lambda x: x[2])
-            while over > 0:  # cut from the largest piece, so that few are cut
-                doc, start, n = window.pop()
-                cut = min(over, n)
-                tails.append((doc, start + n - cut, cut))
-                if n > cut:
-                    window.append((doc, start, n - cut))
-                over -= cut
-            (short if over < 0 else out).append(window)
-        tails.sort(key=lambda x: x[2])
-        for window in short:  # cut-off ends fill the windows below capacity
-            room = capacity - sum(x[2] for x in window)
-            while room and tails:
-                doc, start, n = tails.pop()
-                take = min(room, n)
-                window.append((doc, start, take))
-                if n > take:
-                    tails.append((doc, start + take, n - take))
-                room -= take
-            if room:
-                tails += window
-            else:
-                out.append(window)
-    size = 1 << (capacity.bit_length() - 1)
-    while tails:
-        while size > sum(x[2] for x in tails):
-            size >>= 1
-        window, room = [], size
-        while room:
-            doc, start, n = tails.pop()
-            take = min(room, n)
-            window.append((doc, start, take))
-            if n > take:
-                tails.append((doc, start + take, n - take))
-            room -= take
-        out.append(window)
-    return out
+    if not tails:
+        return out
+    sizes = [x[2] for x in tails]
+    windows = -(-sum(sizes) // capacity)
+    while True:
+        parts = difference(sizes, windows)
+        over = max(sum(sizes[i] for i in part) for part in parts) / capacity - 1
+        if over <= 0:
+            return out + [[tails[i] for i in part] for part in parts if part]
+        windows += max(1, int(windows * over / 2))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 0, group: int = 256) -> DataFrame:
@@ -120,28 +83,32 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         tokens, base = encoder(tokenizer, KEPT_PIECES), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        held: list[tuple[int | None, np.ndarray]] = []
+        names: list[int | None] = []
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal base
             rows = []
-            for window in pack([len(ids) for _, ids in held], capacity):
+            for window in pack([len(ids) for ids in held], capacity):
                 at, total = 0, sum(x[2] for x in window)
                 for doc, start, n in window:
-                    doc_id, ids = held[doc]
-                    rows.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), base, at, total))
+                    ids = held[doc]
+                    rows.append((names[doc], start, n, zlib.crc32(ids[start : start + n]), len(ids), base, at, total))
                     at += n
                 base += 1
+            names.clear()
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=_ARROW)
 
         many = 0
         for batch in batches:
-            ids = batch.column(0)
-            for first, texts in slices(batch.column(1)):
-                for k, got in enumerate(tokens.encode_all(texts)):
-                    held.append((ids[first + k].as_py(), np.append(got, got.dtype.type(end_id)).astype("<u4")))
-                    many += len(got) + 1
+            for part in parts(batch, "text"):
+                ids, ends = with_end(*tokens.encode_flat(part["text"]), end_id)
+                begins = [0, *ends[:-1].tolist()]
+                for name, a, b in zip(part["doc_id"].to_pylist(), begins, ends.tolist(), strict=True):
+                    names.append(name)
+                    held.append(ids[a:b].astype("<u4"))
+                    many += b - a
                     if len(held) >= group or many >= 4 << 20:
                         yield flush()
                         many = 0
