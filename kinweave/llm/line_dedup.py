@@ -1,26 +1,23 @@
 """Removal of repeated passages by overlapping three-line windows.
 
-A line is what line feeds part; a line of more than ``LONG_LINE`` words is parted again after sentence
-ends, so that a passage inside a paragraph has lines of its own. Every three consecutive lines of a
-document are a window, hashed to 128 bits. Of a window that is found at several places anywhere, the
-first place, by doc_id and position, stays; the lines that later places cover are removed, whatever
-their number. Windows of fewer than ``LEAST_WORDS`` words are too common by chance and don't count.
-
-With ``passages``, lines are parted after every sentence end, however long they are, and runs of ``RUN``
-words count as windows too. A run begins at the leftmost smallest hash of every ``NEAR`` words in a row, which
-depends on the words nearby alone, so every passage of ``2 * NEAR - 2 + RUN`` = 50 words holds a run, the same
-one wherever it stands. What later places cover is then taken out of the text, the rest stays as it is.
-With ``least_words=0`` every window of three lines counts, however short, but for windows of blank lines.
-
-Null text stays null and has no lines; a document of fewer than three lines has no window. A null doc_id
-sorts first. Rows of equal doc_id and text are one document: they get the same decision. Extra columns
-stay as they are.
+A line is what line feeds part; a line is parted again after every sentence end, so that a passage inside
+a paragraph has lines of its own. Every three consecutive lines of a document are a window, hashed to 128
+bits, but for windows of blank lines. A passage may begin and end in mid-sentence, so runs of ``RUN`` words
+are windows too: a run begins at the leftmost smallest key of every ``NEAR`` words in a row, which depends on
+the words nearby alone, so every passage of ``2 * NEAR - 2 + RUN`` = 50 words holds a run, the same one
+wherever it stands. Of a window that is found at several places anywhere, the first place, by doc_id and
+position, stays; what later places cover, merged, is cut out of the text, and the rest stays as it is.
+
+Null text stays null and has no lines; empty text has one blank line; a document of fewer than three lines
+has no window of lines, and one of fewer than ``RUN`` words no run. Very long texts are treated like any
+other. A null doc_id sorts first. Rows of equal doc_id and text are one document (told apart by 128 bits of
+the text's hash): they get the same decision. An empty table gives an empty table. Extra columns stay as
+they are, whatever their names; columns named n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,41 +28,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.shingles import mix, word_hashes
-from kinweave.llm.storage import Scratch
-from kinweave.llm.tokens import release
+from kinweave.llm.storage import Scratch, private
+from kinweave.llm.tokens import parts, release
 
-LONG_LINE, LEAST_WORDS = 40, 10
 NEAR, RUN = 17, 18
 _CUT = re.compile(r"\n|(?<=[.!?]) +")
+_BLANK = " \t\n\v\f\r"
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_SENTENCE = re.compile(r"(?<=[.!?]) +")
-_LEAST = -(1 << 63)
 
 
-def lines_of(text: str) -> list[str]:
-    out = []
-    for line in text.split("\n"):
-        if line.count(" ") >= LONG_LINE:
-            out += _SENTENCE.split(line)
-        else:
-            out.append(line)
-    return out
+def lines_of(text: str) -> tuple[list[str], list[int]]:
+    """The lines, and where each begins (and the text's end)."""
+    lines, begins = [], [0]
+    for m in _CUT.finditer(text):
+        lines.append(text[begins[-1] : m.start()])
+        begins.append(m.end())
+    return [*lines, text[begins[-1] :]], [*begins, len(text)]
+
 
+def place(first, end, run: int):
+    """A place as one number, in order of its first character: 31 bits each for that and the size."""
+    return first << 32 | (end - first) << 1 | run
 
-def windows_of(lines: list[str], least_words: int) -> list[tuple[int, bytes]]:
-    """(position, digest) of the windows that count."""
-    words = [x.count(" ") + 1 for x in lines] if least_words else [int(bool(x.strip())) for x in lines]
-    return [(i, xxhash.xxh3_128_digest("\n".join(lines[i : i + 3]).encode("utf-8", "surrogatepass"))) for i in range(len(lines) - 2) if words[i] + words[i + 1] + words[i + 2] >= max(least_words, 1)]
 
+def windows_of(text: str) -> tuple[list[int], list[bytes]]:
+    """Places and digests of the windows of three lines."""
+    lines, begins = lines_of(text)
+    some = [bool(x.strip(_BLANK)) for x in lines]
+    at = [i for i in range(len(lines) - 2) if some[i] or some[i + 1] or some[i + 2]]
+    return [place(begins[i], begins[i + 3], 0) for i in at], [xxhash.xxh3_128_digest("\n".join(lines[i : i + 3]).encode("utf-8", "surrogatepass")) for i in at]
 
-def _beginnings(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+
+def _beginnings(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The words that begin runs: of every ``NEAR`` words in a row of one text, the leftmost smallest."""
-    n = len(hashes)
+    n = len(keys)
     reach = np.ones(n, dtype=np.int64)
     for left in (True, False):
         alive = np.ones(n, dtype=bool)
         for k in range(1, NEAR):
-            a, b = hashes[:-k], hashes[k:]
+            a, b = keys[:-k], keys[k:]
             near = np.zeros(n, dtype=bool)
             same = owner[:-k] == owner[k:]
             if left:
@@ -77,16 +78,28 @@ def _beginnings(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(reach >= NEAR)
 
 
-def runs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every run of words: text, first word in it, first byte and end byte in it, and 128 bits of hash."""
-    coded = [x.encode("utf-8", "surrogatepass") for x in texts]
-    hashes, firsts = word_hashes(b"\n".join(coded))
-    begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in coded])])
+def word_keys(chars: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A small number for each word, of its length and its first, middle and last character."""
+    low = chars + 32 * ((chars >= 65) & (chars <= 90)).astype(np.uint32)
+    first, middle, last = (low[firsts + x].astype(np.int64) for x in (0, sizes // 2, sizes - 1))
+    return (first * 7 + middle * 31 + last * 127 + sizes * 8191) % 1009
+
+
+def runs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of words: its text, its place in that, and 128 bits of hash."""
+    coded = "\n".join(texts)
+    chars = np.frombuffer(coded.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    apart = np.append((chars == 32) | ((chars >= 9) & (chars <= 13)), True)
+    firsts = np.flatnonzero(~apart & np.concatenate([[True], apart[:-1]]))
+    sizes = np.flatnonzero(apart & np.concatenate([[False], ~apart[:-1]])) - firsts
+    hashes, _ = word_hashes(coded.encode("utf-8", "surrogatepass"))
+    begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
     owner = np.searchsorted(begins, firsts, "right") - 1
-    starts = _beginnings(hashes, owner)
-    low = starts[starts + RUN <= len(hashes)]
-    low = low[owner[low] == owner[low + RUN - 1]]
-    ends = np.append(firsts, begins[-1])[low + RUN]
+    at = _beginnings(word_keys(chars, firsts, sizes), owner)
+    at = at[at + RUN <= len(hashes)]
+    at = at[owner[at] == owner[at + RUN - 1]]
+    text = owner[at]
+    ends = np.minimum(np.append(firsts, begins[-1])[at + RUN], begins[text + 1] - 1)
     digest = []
     for base in _BASES:
         up = np.full(len(hashes) + 1, base, dtype=np.uint64)
@@ -95,102 +108,77 @@ def runs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
-        digest.append(mix((sums[low + RUN] - sums[low]) * down[low]))
-    text = owner[low]
-    return text, low - np.searchsorted(firsts, begins)[text], firsts[low] - begins[text], np.minimum(ends, begins[text + 1] - 1) - begins[text], np.stack(digest, axis=1).view(np.int64)
+        digest.append(mix((sums[at + RUN] - sums[at]) * down[at]))
+    return text, place(firsts[at] - begins[text], ends - begins[text], 1), np.stack(digest, axis=1).view(np.int64)
 
 
 def without(text: str, places: list[int]) -> tuple[str, int]:
-    """The text without what the places cover (lines have even places, runs odd ones), and how many lines that touches."""
-    coded = text.encode("utf-8", "surrogatepass")
-    gone = np.zeros(len(coded), dtype=bool)
-    begins, at, last = [0], 0, 0
-    for m in _CUT.finditer(text):
-        at += len(text[last : m.end()].encode("utf-8", "surrogatepass"))
-        last = m.end()
-        begins.append(at)
-    _, words, low, high, _ = runs_of([text])
-    runs = dict(zip(words.tolist(), zip(low.tolist(), high.tolist(), strict=True), strict=True))
-    for place in places:
-        i = place >> 1
-        if place & 1:
-            a, b = runs[i]
-        else:
-            a, b = begins[i], begins[i + 3] if i + 3 < len(begins) else len(coded)
-        gone[a:b] = True
-    sums = np.concatenate([[0], np.cumsum(gone)])
-    touched = sum(1 for a, b in zip(begins, [*begins[1:], len(coded)], strict=True) if sums[b] > sums[a])
-    left = np.frombuffer(coded, dtype=np.uint8)[~gone].tobytes()
-    return left.decode("utf-8", "surrogatepass"), touched
-
-
-def dedup_lines(spark: SparkSession, docs: DataFrame, *, least_words: int = LEAST_WORDS, passages: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """The columns of ``docs`` with removed lines gone from text, and n_lines and n_removed.
-
-    The kept lines of a changed document are joined by line feeds; other documents keep their text. With
-    ``passages``, n_removed counts the lines that lose anything.
-    """
+    """The text without what the places cover, and how many characters that is."""
+    out, at, gone = [], 0, 0
+    for x in sorted(places):
+        first, end = x >> 32, (x >> 32) + ((x & 0xFFFFFFFF) >> 1)
+        if first > at:
+            out.append(text[at:first])
+        gone += max(0, end - max(first, at))
+        at = max(at, end)
+    return "".join([*out, text[at:]]), gone
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
+    """The columns of ``docs`` with repeated passages gone from text, n_lines, and n_removed (characters)."""
     scratch = scratch or Scratch(spark, "lines")
-    parted = _CUT.split if passages else lines_of
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                names, marks, places, digests = [], [], [], []
-                texts, owners = [], []
-                for name, text in zip(batch.column(0).slice(at, 512), batch.column(1).slice(at, 512), strict=True):
-                    if (text := text.as_py()) is None:
-                        continue
-                    owner = _LEAST if name.as_py() is None else name.as_py(), zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                    if found := windows_of(parted(text), least_words):
-                        names.append(np.full(len(found), owner[0]))
-                        marks.append(np.full(len(found), owner[1]))
-                        places.append([x for x, _ in found])
-                        digests += [x for _, x in found]
-                    texts.append(text)
-                    owners.append(owner)
-                both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                if passages and texts:
-                    text, first, _, _, more = runs_of(texts)
-                    of = np.array(owners, dtype=np.int64)[text]
-                    places = [2 * np.array(x) for x in places] + [2 * first + 1]
-                    names, marks, both = [*names, of[:, 0]], [*marks, of[:, 1]], np.concatenate([both, more])
-                if not len(both):
-                    continue
-                columns = [both[:, 0], both[:, 1], np.concatenate(names), np.concatenate(marks), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in columns], names=["h1", "h2", "name", "mark", "place"])
+            for some in parts(batch, "text", 512, 1 << 20):
+                some = some.filter(some["text"].is_valid())
+                texts = some["text"].to_pylist()
+                owners, places, digests = [], [], []
+                for k, text in enumerate(texts):
+                    at, found = windows_of(text)
+                    owners.append(np.full(len(at), k))
+                    places.append(np.array(at, dtype=np.int64))
+                    digests += found
+                runs, at, more = runs_of(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
+                both = np.concatenate([np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2), more])
+                owner = pa.array(np.concatenate([*owners, runs]).astype(np.int64))
+                own = [some[x].take(owner) for x in ("name", "m1", "m2")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), *own, pa.array(np.concatenate([*places, at]))], names=["h1", "h2", "name", "m1", "m2", "place"])
         release()
 
-    every = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(windows, "h1 long, h2 long, name long, mark long, place long")
+    marks = {"m1": F.xxhash64("text"), "m2": F.xxhash64(F.lit(1), F.col("text"))}
+    every = docs.select(F.col("doc_id").cast("long").alias("name"), *(v.alias(k) for k, v in marks.items()), "text").mapInArrow(windows, "h1 long, h2 long, name long, m1 long, m2 long, place long")
     found, found_at = scratch.write(every, "windows")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("name", "mark", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("name", "m1", "m2", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     first, first_at = scratch.write(first, "repeated")
     # merge joins at every size: what is shuffled then grows as the input does, and Spark can split hot windows
-    later = found.join(first.hint("merge"), ["h1", "h2"]).where(F.struct("name", "mark", "place") != F.col("first"))
-    later, _ = scratch.write(later.groupBy("name", "mark").agg(F.sort_array(F.collect_set("place")).alias("places")), "later")
+    same = F.lit(True)
+    for x in ("name", "m1", "m2", "place"):
+        same = same & F.col(x).eqNullSafe(F.col(f"first.{x}"))
+    later = found.join(first.hint("merge"), ["h1", "h2"]).where(~same)
+    later, later_at = scratch.write(later.groupBy("name", "m1", "m2").agg(F.sort_array(F.collect_set("place")).alias("places")), "later")
     scratch.drop(found_at)
     scratch.drop(first_at)
 
     fields = [x for x in docs.schema.fields if x.name not in ("text", "n_lines", "n_removed")]
-    keyed = docs.select(*docs.columns).withColumns({"__name": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "__mark": F.crc32(F.encode("text", "UTF-8"))})
-    joined = keyed.join(later.withColumnsRenamed({"name": "__name", "mark": "__mark"}).hint("merge"), ["__name", "__mark"], "left")
+    name, m1, m2, places = private(docs.columns, "name", "m1", "m2", "places")
+    keyed = docs.withColumns({name: F.col("doc_id").cast("long"), m1: marks["m1"], m2: marks["m2"]})
+    gone = later.select(F.col("name").alias("g"), F.col("m1").alias("g1"), F.col("m2").alias("g2"), F.col("places").alias(places))
+    joined = keyed.join(gone.hint("merge"), keyed[name].eqNullSafe(gone["g"]) & (keyed[m1] == gone["g1"]) & (keyed[m2] == gone["g2"]), "left")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, gone = [], [], []
-            for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
+            for text, places in zip(batch.column(len(fields)), batch.column(len(fields) + 1), strict=True):
                 text, places = text.as_py(), places.as_py()
-                lines = parted(text) if text is not None else []
-                covered = {i + k for i in places or () for k in range(3)} if not passages else ()
-                if passages and places:
-                    text, lost = without(text, places)
-                elif covered:
-                    text = "\n".join(x for i, x in enumerate(lines) if i not in covered)
+                totals.append(0 if text is None else sum(1 for _ in _CUT.finditer(text)) + 1)
+                text, lost = without(text, places) if places else (text, 0)
                 texts.append(text)
-                totals.append(len(lines))
-                gone.append(lost if passages and places else len(covered))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x.name) for x in fields), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=[*(x.name for x in fields), "text", "n_lines", "n_removed"])
+                gone.append(lost)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=[*(x.name for x in fields), "text", "n_lines", "n_removed"])
+        release()
 
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = joined.select(*(x.name for x in fields), "text", "places").mapInArrow(rebuild, schema)
+    scratch.sweep(later_at)
+    out = joined.select(*(keyed[x.name] for x in fields), keyed["text"], places).mapInArrow(rebuild, schema)
     return out.select(*(x for x in docs.columns if x not in ("n_lines", "n_removed")), "n_lines", "n_removed")

@@ -1,20 +1,28 @@
 """Document quality by co-training two views.
 
 The content view sees a text's characters and words; the metadata view sees language, source, length and
-the layout of lines. Each view is a logistic regression. Over ``ROUNDS`` rounds, each gives the documents
-of an unlabelled pool of which it is surest to the other as pseudo-labels. Both are then calibrated on
-labelled documents that neither trained on, and a logistic regression of the calibrated views scores all
-documents.
-
-Models are fitted on the driver from bounded samples taken in order of a hash of doc_id: ``LABELLED``
-labelled and ``POOL`` other documents, a fixed number of figures of each. Every document is scored, whole.
-
-Conflicting labels of a document count by their mean. Documents without a word get score 0 and are
-rejected. Without labels of both classes nothing can be learnt: every document with a word scores 1.
+the layout of lines. Each view is a logistic regression, fitted on labelled documents and calibrated (a
+logistic regression of its logit) on others that it never trains on. Over ``ROUNDS`` rounds, each view says
+of which documents of the whole corpus it is sure (``SURE``, calibrated); these pseudo-labels train the other
+view: every task sums the gradient and the curvature of its documents, a tree of sums brings them together,
+and the driver adds them to the labelled loss, with ``EXCHANGED`` of its weight and the labels' class shares.
+A view takes them only if they are of both classes and don't make it worse on the calibrating documents.
+A logistic regression of the two calibrated views scores all documents.
+
+Labelled documents are a bounded sample, ``LABELLED`` in order of a hash of doc_id; everything else covers
+all documents, whole. The figures of all documents are written once, as half-precision numbers.
+
+Conflicting labels of a document count by their mean, even ones as good; of several rows of one doc_id, the
+text of the smallest hash is the labelled one. Ties don't matter otherwise: each row is scored by itself.
+Documents without a word (null or empty text, white space) get score 0 and are rejected. With fewer than
+``LEAST_LABELS`` labelled documents of either class nothing can be learnt: every document with a word scores
+1. An empty table gives an empty table. Very long texts count as any other. All columns stay as they are,
+but columns named score, content_score, meta_score or kept, which are replaced.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.shingles import texts_words
+from kinweave.llm.storage import Scratch, plan_bytes, private
 from kinweave.llm.tokens import release, slices
 
-LABELLED, POOL, ROUNDS, SURE, SHARE = 12_000, 4000, 3, 0.97, 0.05
+LABELLED, LEAST_LABELS, ROUNDS, SURE, EXCHANGED = 12_000, 10, 3, 0.97, 0.5
 _BUCKETS = 128
 _CLASS = np.full(256, 9, dtype=np.int64)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n", b".", b",;:", b"!?", b"|")):
@@ -72,6 +81,10 @@ def meta_view(texts: list[str | None], langs: list[str | None], sources: list[st
     return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 @dataclass
 class Logistic:
     """A logistic regression on standardised columns, fitted by Newton's method."""
@@ -81,115 +94,215 @@ class Logistic:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
+    def of(cls, x: np.ndarray) -> Logistic:
         mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
         scale[scale < 1e-9] = np.inf
-        z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
-        keep = np.full(len(w), ridge)
+        return cls(mean, scale, np.zeros(x.shape[1] + 1))
+
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
+
+    def sums(self, x: np.ndarray, y: float) -> np.ndarray:
+        """Rows, gradient and curvature of rows of one class, at the present weights."""
+        z = self.columns(x)
+        p = _sigmoid(z @ self.weights)
+        return np.concatenate([[len(x)], z.T @ (y - p), ((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z).ravel()])
+
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, more: tuple[np.ndarray, np.ndarray] | None = None) -> Logistic:
+        """``more``: gradient and curvature at the present weights of further rows, which count by that expansion."""
+        z, w, was, keep = self.columns(x), self.weights.copy(), self.weights, np.full(len(self.weights), ridge)
         keep[-1] = 1e-6
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(keep), z.T @ (y - p) - keep * w)
+            p = _sigmoid(z @ w)
+            slope, bend = z.T @ (y - p) - keep * w, (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(keep)
+            if more:
+                slope, bend = slope + more[0] - more[1] @ (w - was), bend + more[1]
+            step = np.linalg.solve(bend, slope)
             w += step
             if np.abs(step).max() < 1e-4:
                 break
-        return cls(mean, scale, w)
+        return Logistic(self.mean, self.scale, w)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1], -30, 30)
 
 
-def _sure(logits: np.ndarray, free: np.ndarray, prior: float, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pool places of which a view is surest, of both classes by their prior, and their pseudo-labels."""
-    bound = np.log(SURE / (1 - SURE))
-    most = max(2, int(share * len(logits)))
-    up, down = np.flatnonzero(free & (logits >= bound)), np.flatnonzero(free & (logits <= -bound))
-    up = up[np.argsort(-logits[up], kind="stable")][: max(1, round(most * prior))]
-    down = down[np.argsort(logits[down], kind="stable")][: max(1, round(most * (1 - prior)))]
-    return np.concatenate([up, down]), np.concatenate([np.ones(len(up)), np.zeros(len(down))])
+class CoTrained:
+    """Two views, their calibration, and what joins them."""
+
+    def __init__(self, content: np.ndarray, meta: np.ndarray, y: np.ndarray) -> None:
+        """Every fifth labelled row of each class calibrates; the others train."""
+        held = np.zeros(len(y), dtype=bool)
+        for c in (0, 1):
+            held[np.flatnonzero(y == c)[::5]] = True
+        self.rows, self.held = [(v[~held], v[held]) for v in (content, meta)], y[held]
+        self.y, self.prior = y[~held], float(y.mean())
+        self.views = [Logistic.of(x).fit(x, self.y) for x, _ in self.rows]
+        self._calibrate()
+
+    def _calibrate(self) -> None:
+        raw = [m.logit(x)[:, None] for m, (_, x) in zip(self.views, self.rows, strict=True)]
+        self.scales = [Logistic.of(x).fit(x, self.held, 1e-2) for x in raw]
+        both = np.hstack([c.logit(x)[:, None] for c, x in zip(self.scales, raw, strict=True)])
+        self.joint = Logistic.of(both).fit(both, self.held, 1e-2)
+
+    def logits(self, content: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+        """Of each view, calibrated."""
+        return [c.logit(m.logit(x)[:, None]) for c, m, x in zip(self.scales, self.views, (content, meta), strict=True)]
+
+    def pseudo(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """What documents of which one view is sure add to the other: sums for each view and class."""
+        said, bound, out = self.logits(content, meta), np.log(SURE / (1 - SURE)), []
+        for k, x in enumerate((content, meta)):
+            other = said[1 - k]
+            out += [self.views[k].sums(x[other <= -bound], 0.0), self.views[k].sums(x[other >= bound], 1.0)]
+        return np.concatenate(out)
+
+    def _loss(self, k: int) -> float:
+        p = _sigmoid(self.scales[k].logit(self.views[k].logit(self.rows[k][1])[:, None]))
+        return float(-np.log(np.where(self.held == 1, p, 1 - p) + 1e-12).mean())
+
+    def exchange(self, sums: np.ndarray) -> None:
+        """One round: fits both views to the labelled rows and the other's pseudo-labels of both classes.
+
+        A view that gets worse on the calibrating rows stays as it was.
+        """
+        fitted, at, whole = [], 0, EXCHANGED * len(self.y)
+        for view, (x, _) in zip(self.views, self.rows, strict=True):
+            n = len(view.weights)
+            slope, bend = np.zeros(n), np.zeros((n, n))
+            low, high = (sums[at + k * (1 + n + n * n) :][: 1 + n + n * n] for k in (0, 1))
+            at += 2 * (1 + n + n * n)
+            if low[0] and high[0]:
+                for share, part in ((1 - self.prior, low), (self.prior, high)):
+                    slope += part[1 : n + 1] * whole * share / part[0]
+                    bend += part[n + 1 :].reshape(n, n) * whole * share / part[0]
+            fitted.append(view.fit(x, self.y, more=(slope, bend)))
+        was, losses = self.views, [self._loss(k) for k in (0, 1)]
+        self.views = fitted
+        self._calibrate()
+        self.views = [new if self._loss(k) <= losses[k] + 1e-3 else old for k, (new, old) in enumerate(zip(fitted, was, strict=True))]
+        self._calibrate()
 
+    def score(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.logits(content, meta)
+        return _sigmoid(self.joint.logit(np.stack([a, b], axis=1))), _sigmoid(a), _sigmoid(b)
 
-@dataclass
-class CoTrained:
-    content: Logistic
-    meta: Logistic
-    joint: Logistic
+    def slim(self) -> CoTrained:
+        """Without the labelled rows, to be sent to tasks."""
+        out = copy.copy(self)
+        out.rows = out.y = out.held = None
+        return out
 
-    @classmethod
-    def fit(cls, content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
-        """Every fifth labelled row calibrates; the others train."""
-        held = np.arange(len(y)) % 5 == 0
-        views, pools = [content, meta], [pool_content, pool_meta]
-        xs = [[v[~held]] for v in views]
-        ys = [[y[~held]] for _ in views]
-        free = [np.ones(len(pool_content), dtype=bool) for _ in views]
-        models = [Logistic.fit(np.vstack(x), np.concatenate(t)) for x, t in zip(xs, ys, strict=True)]
-        for _ in range(ROUNDS if len(pool_content) else 0):
-            for k, other in ((0, 1), (1, 0)):
-                at, said = _sure(models[k].logit(pools[k]), free[other], float(y.mean()), SHARE)
-                free[other][at] = False
-                xs[other].append(pools[other][at])
-                ys[other].append(said)
-            models = [Logistic.fit(np.vstack(x), np.concatenate(t)) for x, t in zip(xs, ys, strict=True)]
-        calibrated = np.stack([m.logit(v[held]) for m, v in zip(models, views, strict=True)], axis=1)
-        return cls(*models, Logistic.fit(calibrated, y[held]))
 
-    def score(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.content.logit(content), self.meta.logit(meta)
-        both = self.joint.logit(np.stack([a, b], axis=1))
-        return tuple(1 / (1 + np.exp(-x)) for x in (both, a, b))
+_LOOKED = ("text", "lang", "source", "n_chars")
 
 
-def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    for first, texts in slices(batch.column("text"), 1024, 1 << 21):
-        get = lambda name: batch.column(name).slice(first, len(texts)).to_pylist()  # noqa: B023,E731
+def _views(columns: dict[str, pa.Array]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for first, texts in slices(columns["text"], 1024, 1 << 21):
+        langs, sources, chars = (columns[x].slice(first, len(texts)).to_pylist() for x in _LOOKED[1:])
         content, words = content_view(texts)
-        yield first, len(texts), content, meta_view(texts, get("lang"), get("source"), get("n_chars")), words
+        yield first, len(texts), content, meta_view(texts, langs, sources, chars), words
+
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    """doc_id and class of labelled documents: some more than ``LABELLED``, the first in order of a hash."""
+    told = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    share = 4 * LABELLED / max(told.count(), 1)
+    if share < 1:
+        told = told.where(F.xxhash64("doc_id") <= int(-(1 << 63) + share * (1 << 64)))
+    return told.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
 
-def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> CoTrained | None:
+
+def _added(df: DataFrame, size: int) -> np.ndarray:
+    """The sum of a column of arrays of doubles as bytes, by a tree: few rows come to the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), dtype="<f8")
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    width = max(8, (plan_bytes(df) >> 27) // 32)
+    while True:
+        df = df.repartition(width).mapInArrow(add, "sums binary")
+        if width <= 8:
+            break
+        width = max(8, width // 32)
+    return sum((np.frombuffer(r["sums"], dtype="<f8") for r in df.collect()), np.zeros(size))  # eight rows
+
+
+def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> CoTrained | None:
+    """``docs``: doc_id, text, lang, source, n_chars."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    told = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    known = {r["doc_id"]: r["y"] for r in told.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(LABELLED).collect()}
-    pool = [r["doc_id"] for r in docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().orderBy(*order).limit(LABELLED + POOL).collect()]
-    pool = [x for x in pool if x not in known][:POOL]
-    if len(set(known.values())) < 2 or len(known) < 20:
-        return None
-    wanted = F.broadcast(spark.createDataFrame([(x, int(x in known)) for x in [*known, *pool]], "doc_id long, known int"))  # at most LABELLED + POOL
+    told = F.broadcast(_labelled(labels))  # about 4 * LABELLED rows at most, by the hash
+    texts = docs.join(told, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), *_LOOKED)).alias("d"))
+    texts = texts.orderBy(*order).limit(LABELLED).select("doc_id", "y", *(F.col(f"d.{x}").alias(x) for x in _LOOKED))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, content, meta, _ in _views(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["doc_id", "content", "meta"])
+            for first, n, content, meta, _ in _views({x: batch[x] for x in _LOOKED}):
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, n), batch["y"].slice(first, n), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["doc_id", "y", "content", "meta"])
+
+    rows = texts.repartition(8).mapInArrow(look, "doc_id long, y int, content binary, meta binary").collect()  # at most LABELLED
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["doc_id"]))
+    y = np.array([r["y"] for r in rows], dtype=np.float64)
+    if min((y == 0).sum(), (y == 1).sum()) < LEAST_LABELS:
+        return None
+    get = lambda name, size: np.array([np.frombuffer(r[name], "<f4") for r in rows], dtype=np.float64).reshape(-1, size)
+    model = CoTrained(get("content", CONTENT), get("meta", META), y)
+    known = spark.sparkContext.broadcast(np.sort(np.array([r["doc_id"] for r in rows], dtype=np.int64)))
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, content, meta, words in _views({x: batch[x] for x in _LOOKED}):
+                ids = batch["doc_id"].slice(first, n)
+                free = (words > 0) & ~(np.isin(ids.fill_null(0).to_numpy(), known.value) & ids.is_valid().to_numpy(zero_copy_only=False))
+                both = np.hstack([content, meta])[free].astype("<f2")
+                yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], names=["both"])
+        release()
+
+    every, at = scratch.write(docs.mapInArrow(figures, "both binary"), "figures")
+    size = len(model.pseudo(np.zeros((0, CONTENT)), np.zeros((0, META))))
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(model.slim())
+
+        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                for x in batch.column(0):
+                    both = np.frombuffer(x.as_buffer(), "<f2").reshape(-1, CONTENT + META).astype(np.float64)
+                    total += sent.value.pseudo(both[:, :CONTENT], both[:, CONTENT:])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+            release()
 
-    rows = {r["doc_id"]: r for r in docs.join(wanted, "doc_id").mapInArrow(look, "doc_id long, content binary, meta binary").collect()}
-    get = lambda ids, name, size: np.array([np.frombuffer(rows[i][name], "<f4") for i in ids], dtype=np.float64).reshape(-1, size)
-    ids = [x for x in known if x in rows]
-    return CoTrained.fit(get(ids, "content", CONTENT), get(ids, "meta", META), np.array([known[x] for x in ids], dtype=np.float64), get(pool, "content", CONTENT), get(pool, "meta", META))
+        model.exchange(_added(every.mapInArrow(sums, "sums binary"), size))
+    scratch.drop(at)
+    return model.slim()
 
 
-def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
+def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` with score, content_score, meta_score and kept."""
+    scratch = scratch or Scratch(spark, "quality")
     added = ("score", "content_score", "meta_score", "kept")
     own = [x for x in docs.columns if x not in added]
     docs = docs.select(*own)
-    view = docs
-    for name, kind in (("lang", "string"), ("source", "string"), ("n_chars", "long")):
-        view = view.withColumn(name, F.col(name).cast(kind) if name in own else F.lit(None).cast(kind))
-    model = fit_quality(spark, view.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars"), labels)
+    looked = [F.col(name).cast(kind) if name in own else F.lit(None).cast(kind) for name, kind in zip(_LOOKED, ("string", "string", "string", "long"), strict=True)]
+    helpers = private([*own, *added], *_LOOKED)
+    model = fit_quality(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(x) for c, x in zip(looked, _LOOKED, strict=True))), labels, scratch)
     sent = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*(view.schema[x] for x in own), *(T.StructField(x, T.DoubleType()) for x in added[:3]), T.StructField("kept", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.DoubleType()) for x in added[:3]), T.StructField("kept", T.BooleanType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores: list[list[np.ndarray]] = [[], [], []]
-            for _, n, content, meta, words in _views(batch):
+            for _, n, content, meta, words in _views(dict(zip(_LOOKED, batch.columns[len(own) :], strict=True))):
                 got = sent.value.score(content, meta) if sent.value else (np.ones(n),) * 3
                 for to, x in zip(scores, got, strict=True):
                     to.append(np.where(words > 0, x, 0.0))
             done = [np.concatenate(x) if x else np.zeros(0) for x in scores]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in own), *map(pa.array, done), pa.array(done[0] >= threshold)], names=[*own, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *map(pa.array, done), pa.array(done[0] >= threshold)], names=[*own, *added])
         release()
 
-    return view.mapInArrow(judge, schema)
+    return docs.withColumns(dict(zip(helpers, looked, strict=True))).select(*own, *helpers).mapInArrow(judge, schema)

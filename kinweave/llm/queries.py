@@ -52,37 +52,55 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
-ORACLES["op5_line_dedup"] = """
-WITH lines AS (
-  SELECT doc_id, text, line, ln FROM (
-    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
-    FROM documents WHERE text IS NOT NULL)
-), parts AS (
-  SELECT doc_id, text, ln, CASE WHEN len(string_split(line, ' ')) > 40
-    THEN string_split(regexp_replace(line, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) ELSE [line] END AS ps
-  FROM lines
-), segs AS (
-  SELECT doc_id, text, s, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) AS pos
-  FROM (SELECT doc_id, text, ln, unnest(ps) AS s, generate_subscripts(ps, 1) AS k FROM parts)
+ORACLES["op5_line_dedup"] = r"""
+WITH pieces AS (
+  SELECT doc_id, p, length(p) AS n, k, len(ps) AS many FROM (
+    SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k, ps FROM (
+      SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])( +)', '\1\2' || chr(1), 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS ps
+      FROM documents WHERE text IS NOT NULL))
+), lines AS (
+  SELECT doc_id, k, sum(n) OVER (PARTITION BY doc_id ORDER BY k) - n AS a,
+    CASE WHEN k = many THEN p WHEN ends_with(p, chr(10)) THEN left(p, -1) ELSE regexp_replace(p, ' +$', '') END AS s, n
+  FROM pieces
 ), wins AS (
-  SELECT doc_id, pos, s || chr(10) || lead(s) OVER w || chr(10) || lead(s, 2) OVER w AS win,
-    len(string_split(s, ' ')) + len(string_split(lead(s) OVER w, ' ')) + len(string_split(lead(s, 2) OVER w, ' ')) AS words
-  FROM segs WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, a, a + sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS b,
+    s || chr(10) || lead(s) OVER w || chr(10) || lead(s, 2) OVER w AS win
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), tokens AS (
+  SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k, chars FROM (
+    SELECT doc_id, regexp_extract_all(text, '[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+') AS ts, length(text) AS chars FROM documents WHERE text IS NOT NULL)
+), words AS (
+  SELECT doc_id, k, chars, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) - length(w) AS a, w, length(w) AS n
+  FROM (SELECT *, translate(regexp_replace(t, '^[ \t\n\x0B\f\r]+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM tokens)
+), keyed AS (
+  SELECT *, (unicode(w[1]) * 7 + unicode(w[n // 2 + 1]) * 31 + unicode(w[n]) * 127 + n * 8191) % 1009 AS key, count(*) OVER (PARTITION BY doc_id) AS total FROM words
+), begins AS (
+  SELECT DISTINCT doc_id, least % 100000000 AS k FROM (
+    SELECT doc_id, k, total, min(key::BIGINT * 100000000 + k) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 16 FOLLOWING) AS least FROM keyed)
+  WHERE k + 16 <= total
+), spans AS (
+  SELECT doc_id, k, a, coalesce(lead(a, 18) OVER w, chars) AS b, total,
+    string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 17 FOLLOWING) AS run
+  FROM keyed WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 ), later AS (
-  SELECT doc_id, pos FROM (
-    SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS rn FROM wins WHERE win IS NOT NULL AND words >= 10)
-  WHERE rn > 1
-), covered AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM later, (VALUES (0), (1), (2)) AS t(k)
+  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, a) AS rn FROM wins
+    WHERE win IS NOT NULL AND regexp_matches(win, '[^ \t\n\x0B\f\r]')) WHERE rn > 1
+  UNION ALL
+  SELECT doc_id, a, b FROM (SELECT doc_id, a, b, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS rn
+    FROM spans JOIN begins USING (doc_id, k) WHERE k + 17 <= total) WHERE rn > 1
+), marked AS (
+  SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM later
+), islands AS (
+  SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM marked) GROUP BY doc_id, g
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS past FROM islands
 ), kept AS (
-  SELECT s.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
-    coalesce(string_agg(s.s, chr(10) ORDER BY s.pos) FILTER (WHERE c.pos IS NULL), '') AS rest, any_value(s.text) AS text
-  FROM segs s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.pos = c.pos GROUP BY s.doc_id
-)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
-  length(CASE WHEN n_removed > 0 THEN rest ELSE d.text END) AS kept_chars,
-  md5(CASE WHEN n_removed > 0 THEN rest ELSE d.text END) AS kept_md5
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+  SELECT g.doc_id, sum(b - a) AS gone, string_agg(substr(text, past::BIGINT + 1, (a - past)::BIGINT), '' ORDER BY a) || substr(any_value(text), max(b)::BIGINT + 1) AS rest
+  FROM gaps g JOIN documents d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+), counted AS (SELECT doc_id, count(*) AS n FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed,
+  length(CASE WHEN gone > 0 THEN rest ELSE d.text END) AS kept_chars, md5(CASE WHEN gone > 0 THEN rest ELSE d.text END) AS kept_md5
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN counted c ON c.doc_id = d.doc_id
 """
 
 
@@ -169,8 +187,8 @@ j AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM j
 """
 ORACLES["op8_decontamination"] = r"""
-WITH dd AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
-ii AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+WITH dd AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\pP\pS\pZ\p{Cc}]+'), lambda x: x <> '') AS ws FROM documents),
+ii AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\pP\pS\pZ\p{Cc}]+'), lambda x: x <> '') AS ws FROM benchmark),
 dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p, len(ws) AS n FROM dd),
 iw AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS q, len(ws) AS m FROM ii WHERE len(ws) >= 8),
 g AS (SELECT doc_id, item_id, p - q AS d, m, n, list(q) AS qs FROM dw JOIN iw ON dw.w = iw.w GROUP BY doc_id, item_id, p - q, m, n HAVING count(*) >= ceil(0.75 * least(16, m))),

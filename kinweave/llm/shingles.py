@@ -1,35 +1,25 @@
 """Hashes of words and word shingles of whole texts, many texts at once, on numpy arrays.
 
-A word is a run of anything but ASCII white space, A-Z in lower case. A word's hash is a polynomial over
-table values of its UTF-8 bytes modulo 2**64, mixed; it depends on the word alone, in every process.
+A word is a run of anything but ASCII white space, A-Z in lower case. The hash of a word of up to 16 bytes
+mixes its bytes, all of them, as two numbers; a longer word's is its 64-bit xxh3. Equal words have equal
+hashes in every process.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
+import regex
 import xxhash
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _OTHER = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_TABLE = np.array([xxhash.xxh64_intdigest(bytes([i]), 11) for i in range(256)], dtype=_U)
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _PLACES = np.array([xxhash.xxh64_intdigest(bytes([i]), 23) | 1 for i in range(64)], dtype=_U)
-_BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 18
-_powers: list[np.ndarray] = [np.zeros(0, dtype=_U), np.zeros(0, dtype=_U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(n, base, dtype=_U)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _powers[k] = out
-    return _powers[0], _powers[1]
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=_U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,37 +29,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The hash and the first byte of every word; ``between`` marks the bytes that part words."""
-    hashes, firsts, at = [], [], 0
-    raw = np.frombuffer(data, dtype=np.uint8)
-    while at < len(raw):
-        end = min(len(raw), at + _CHUNK)
-        while end < len(raw) and not between[raw[end - 1]]:
-            more = np.flatnonzero(between[raw[end : end + _CHUNK]])
-            end = end + int(more[0]) + 1 if len(more) else min(len(raw), end + _CHUNK)
-        part = raw[at:end]
-        space = between[part]
-        begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-        ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-        if len(ends) < len(begins):
-            ends = np.append(ends, len(part))
-        up, down = _power(max(_CHUNK, len(part)))
-        sums = np.zeros(len(part) + 1, dtype=_U)
-        np.cumsum(_TABLE[_LOWER[part]] * up[: len(part)], out=sums[1:])
-        hashes.append(mix((sums[ends] - sums[begins]) * down[begins]))
-        firsts.append(begins + at)
-        at = end
-    if not hashes:
-        return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
-    return np.concatenate(hashes), np.concatenate(firsts)
+    data = data.translate(_LOWER)
+    apart = between[np.frombuffer(data + b" ", dtype=np.uint8)]
+    firsts = np.flatnonzero(~apart & np.concatenate([[True], apart[:-1]]))
+    sizes = np.flatnonzero(apart & np.concatenate([[False], ~apart[:-1]])) - firsts
+    if not len(firsts):
+        return np.zeros(0, dtype=_U), firsts
+    eight = np.ndarray(len(data) + 9, dtype="<u8", buffer=data + b"\0" * 16, strides=(1,))  # the eight bytes from each byte on
+    low = eight[firsts] & _BYTES[np.minimum(sizes, 8)]
+    high = eight[np.minimum(firsts + 8, len(data))] & _BYTES[np.clip(sizes - 8, 0, 8)]
+    hashes = mix(mix(mix(low + sizes.astype(_U) * _PLACES[0]) * _PLACES[1] + high))
+    for k in np.flatnonzero(sizes > 16).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(data[firsts[k] : firsts[k] + sizes[k]])
+    return hashes, firsts
+
+
+@cache
+def _marks() -> regex.Pattern:
+    return regex.compile(r"[[\p{P}\p{S}\p{Z}\p{Cc}]--[\x00-\x7F]]", regex.V1)
+
+
+def _letters(text: str) -> str:
+    """Lower case, with spaces for punctuation, symbols and white space beyond ASCII."""
+    text = text.lower()
+    return text if text.isascii() else _marks().sub(" ", text)
 
 
 def texts_words(texts: list[str | None], *, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts one after another, and the index at which each text's begin (and the end).
 
-    With ``letters``, words are runs of letters and digits of any script, without regard to case.
+    With ``letters``, words are runs of letters, digits and marks of any script, without regard to case.
     """
     if letters:
-        texts = [(x or "").lower() for x in texts]
+        texts = [_letters(x or "") for x in texts]
     coded = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
     hashes, firsts = word_hashes(b"\n".join(coded), _OTHER if letters else _SPACE)
     sizes = np.array([len(x) + 1 for x in coded], dtype=np.int64)

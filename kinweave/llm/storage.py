@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def private(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that no column of ``columns`` has, in any case."""
+    taken = {x.lower() for x in columns}
+    lead = "_"
+    while any((lead + x).lower() in taken for x in names):
+        lead += "_"
+    return [lead + x for x in names]
+
+
 class Scratch:
     """Cuts lineage with Parquet tables under the shared folder, which survive the loss of executors.
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -100,67 +101,101 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 180)) and 500 not in got
 
 
-def lines_brute(rows, least=line_dedup.LEAST_WORDS):
-    first = {}
-    parts = {k: line_dedup.lines_of(t) for k, (_, t) in enumerate(rows) if t is not None}
-    key = lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][1])
-    for k in sorted(parts, key=key):
-        for i, d in line_dedup.windows_of(parts[k], least):
-            first.setdefault(d, (key(k), i))
+def runs_brute(text):
+    """(first character, end, words) of every run, word by word."""
+    found = [(m.start(), m[0].translate(LOW)) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    key = lambda w: (ord(w[0]) * 7 + ord(w[len(w) // 2]) * 31 + ord(w[-1]) * 127 + len(w) * 8191) % 1009
+    near, run = line_dedup.NEAR, line_dedup.RUN
+    begins = {min(range(i, i + near), key=lambda k: (key(found[k][1]), k)) for i in range(len(found) - near + 1)}
+    ends = [x for x, _ in found] + [len(text)]
+    return [(found[i][0], ends[i + run], tuple(w for _, w in found[i : i + run])) for i in sorted(begins) if i + run <= len(found)]
+
+
+def lines_brute(rows):
+    key = lambda k: (rows[k][0] is not None, rows[k][0] or 0)
+    first, places = {}, {}
+    for k in sorted((k for k, (_, t) in enumerate(rows) if t is not None), key=key):
+        text = rows[k][1]
+        cuts = [0, *(m.end() for m in re.finditer(r"\n|(?<=[.!?]) +", text)), len(text)]
+        lines = re.split(r"\n|(?<=[.!?]) +", text)
+        found = [(cuts[i], cuts[i + 3], tuple(lines[i : i + 3])) for i in range(len(lines) - 2) if re.search(r"[^\x20\x09-\x0D]", "".join(lines[i : i + 3]))]
+        places[k] = [(a, b, ("line", w)) for a, b, w in found] + [(a, b, ("run", w)) for a, b, w in runs_brute(text)]
+        for a, _, w in sorted(places[k], key=lambda x: x[0]):
+            first.setdefault(w, (rows[k], a))
     out = []
     for k, (d, t) in enumerate(rows):
-        covered = {i + j for i, h in line_dedup.windows_of(parts.get(k, []), least) if first[h] != (key(k), i) for j in range(3)}
-        out.append((d, "\n".join(x for i, x in enumerate(parts[k]) if i not in covered) if covered else t, len(parts.get(k, [])), len(covered)))
+        gone = {c for a, b, w in places.get(k, []) if first[w] != (rows[k], a) for c in range(a, b)}
+        out.append((d, t if t is None else "".join(x for c, x in enumerate(t) if c not in gone), 0 if t is None else len(re.findall(r"\n|(?<=[.!?]) +", t)) + 1, len(gone)))
     return sorted(out, key=repr)
 
 
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(2)
     pool = [f"line {i} has some words in it" for i in range(12)]
-    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(120)]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(80)]
     passage = "The first part of it ends. Then comes a second one. A third sentence follows here. And the last of all closes it."
-    rows += [(200 + i, f"Opening number {i} stands alone here. {passage} " + " ".join(f"tail{i}x{k}" for k in range(50))) for i in range(4)]
-    rows += [(None, "\n".join(pool[:4])), (None, None), (300, None), (301, ""), (302, "a\nb\nc"), (303, "a\nb\nc"), (304, "\n".join(pool[:1] * 8))]
-    df = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "7 as place", "'q' as n_removed")
+    rows += [(200 + i, f"Opening number {i} stands alone here. {passage} " + "  ".join(f"tail{i}x{k}" for k in range(50)) + "   kept  as it was. ") for i in range(4)]
+    rows += [(None, "\n".join(pool[:4])), (None, None), (300, None), (301, ""), (302, "a\nb\nc"), (303, "a\nb\nc"), (304, "\n".join(pool[:1] * 8)), (305, "of. " * 60), (306, "é😀 " * 40), (307, "x" * 70000)]
+    long = " ".join(rng.choices(["ein", "zwei", "drei", "vier", "Fünf"], k=3000))
+    rows += [(400, long), (401, "before " + long[200:900] + " after"), (402, "Home\nNews\nLog in\nFirst body"), (403, "Home\nNews\nLog in\nSecond body"), (404, "a\n \n\n\nb"), (405, "c\n \n\n\nd")]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "7 as place", "8 as places", "9 as __mark", "0 as _m1", "'q' as n_removed", "1 as name")
     out = line_dedup.dedup_lines(spark, df)
-    assert out.columns == ["doc_id", "text", "place", "n_lines", "n_removed"]
-    assert sorted((tuple(r) for r in out.select("doc_id", "text", "n_lines", "n_removed").collect()), key=repr) == lines_brute(rows)
-    assert any("third sentence" not in (r.text or "") for r in out.where("doc_id > 200 and doc_id < 204").collect())
+    assert out.columns == ["doc_id", "text", "place", "places", "__mark", "_m1", "name", "n_lines", "n_removed"]
+    got = out.collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=repr) == lines_brute(rows)
+    assert {(r.place, r.places, r["__mark"], r.name) for r in got} == {(7, 8, 9, 1)}
+    said = {r.doc_id: r.text for r in got}
+    assert said[403] == "Second body" and said[405] == "c\n \n\n\nd" and said[203].endswith("x48  tail3x49   kept  as it was. ")
     again = line_dedup.dedup_lines(spark, spark.createDataFrame([rows[0], rows[0]], DOCS)).collect()
     assert again[0].text == again[1].text
     assert line_dedup.dedup_lines(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_tells_texts_without_id_apart(spark):
+    a, b = "plumless", "buckeroo"  # equal CRC-32, as texts of equal length that end alike have
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    tail = "\nunique line one\nunique line two\nunique line three"
+    rows = [(None, a + tail), (None, b + tail), (1, "other\nlines\nhere")]
+    assert zlib.crc32(rows[0][1].encode()) == zlib.crc32(rows[1][1].encode())
+    got = {r.text for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, DOCS)).collect()} - {rows[2][1]}
+    assert got in ({a + tail, b + "\n"}, {b + tail, a + "\n"})  # one of them is first and keeps all
+
+
 def test_every_passage_of_50_words_holds_a_run():
     rng = random.Random(8)
     for k in range(300):
         passage = rng.choices([f"w{i}" for i in range(rng.choice([1, 2, 9, 4000]))], k=50)
         around = [[f"x{rng.randrange(5000)}" for _ in range(rng.randint(0, 30))] for _ in range(4)]
         a, b = (" ".join(x + passage + y) for x, y in (around[:2], around[2:]))
-        text, _, _, _, digests = line_dedup.runs_of([a, "", b, "é " * k])
+        text, _, digests = line_dedup.runs_of([a, "", b, "é " * k])
         assert {tuple(x) for x in digests[text == 0].tolist()} & {tuple(x) for x in digests[text == 2].tolist()}, k
 
 
+def test_long_words_have_hashes_of_their_own():
+    order, word = "ab", {"a": "ab", "b": "ba"}
+    for _ in range(8):
+        order = "".join(word[x] for x in order)
+    texts = [order, order.translate(str.maketrans("ab", "ba")), "a" * 8, "a" * 9, "a" * 8 + "\0", "a" * 16, "a" * 16 + "\0", "a" * 17, "b" + "a" * 15, "a" * 15 + "b"]
+    hashes, at = texts_words(texts)
+    assert at.tolist() == list(range(len(texts) + 1)) and len(set(hashes.tolist())) == len(texts)
+    assert texts_words(["A" * 20 + " x"])[0].tolist() == texts_words(["a" * 20 + "\tX"])[0].tolist()
+    assert texts_words(["one—two “three” İ·x"], letters=True)[1].tolist() == [0, 5]
+
+
 def test_pipeline_removes_passages_planted_in_mid_sentence(spark):
     rng = random.Random(3)
     foreign = lambda n: " ".join(f"é{rng.randrange(10**6)}" for _ in range(n))
     passage = " ".join(f"p{i}" + "." * (i in (24, 30)) for i in range(51))
     rows = [(i, f"{foreign(3 + i)} {passage} {foreign(40 - 3 * i)}\n{foreign(5)}. {foreign(6)}") for i in range(6)] + [(6, passage), (7, None), (None, "")]
     df = spark.createDataFrame(rows, DOCS)
-    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, "").collect()}
     longest = lambda text: max((j - i for i in range(51) for j in range(i + 1, 52) if " ".join(passage.split()[i:j]) in text), default=0)
-    assert got[0] == rows[0][1] and got[7] is None and got[None] == ""
-    for i, text in rows[1:6]:
-        assert longest(got[i]) < 50 and len(got[i].split()) < len(text.split())
-        assert [w for w in got[i].split() if w[0] == "é"] == [w for w in text.split() if w[0] == "é"] and got[i].count("\n") == 1
-    assert longest(got.get(6, "")) < 50
-
-
-def test_pipeline_removes_short_repeated_lines(spark):
-    menu, blank = "Home\nNews\nLog in\n", " \n\n\n"
-    rows = [(1, menu + "First body"), (2, "of.\n" * 6 + "x"), (3, menu + "Second body"), (4, "a\n" + blank + "b"), (5, "c\n" + blank + "d")]
-    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
-    assert got == {1: rows[0][1], 2: "of.\nx", 3: "Second body", 4: rows[3][1], 5: rows[4][1]}
+    for found in (line_dedup.dedup_lines(spark, df), corpus_pipeline.line_stage(spark, df, "")):
+        got = {r.doc_id: r.text for r in found.collect()}
+        assert got[0] == rows[0][1] and got[7] is None and got[None] == ""
+        for i, text in rows[1:6]:
+            assert longest(got[i]) < 50 and len(got[i].split()) < len(text.split())
+            assert [w for w in got[i].split() if w[0] == "é"] == [w for w in text.split() if w[0] == "é"] and got[i].count("\n") == 1
+        assert longest(got.get(6, "")) < 50
 
 
 def test_decontamination_finds_substituted_passages(spark):

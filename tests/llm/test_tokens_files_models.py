@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from kinweave.llm import binary_ids, packing, pii, quality, tokens, url_filter
 from kinweave.llm.huffman import Code, code_lengths
+from kinweave.llm.storage import Scratch
 
 DOCS = "doc_id long, text string"
 ODD = ["", None, " ", "  a  b ", "a\n b", "a \n b", "one two", "x<|endoftext|> y", "don't stop 's 'll", "é b ç", "a\x1cb \x1c c", " a", "a ", "a　 b", "日本 語 text", "\U0001f600 \U0001f600", "end.\nStart, again!\n\nmore", "a\x01b \x01", "word, word. word; word: word! word?", "...a .b. ,c,", "x" * 5000, "1.5 2,000 a1, b2."]
@@ -234,25 +235,50 @@ def test_quality_holds_out(spark):
 
 
 def test_quality_edges(spark):
-    rows = [(i, "plain words of a text " * (i % 5 + 1) if i % 2 else "!!! $$$ ### " * (i % 4 + 1), "en", "s") for i in range(80)]
-    rows += [(None, "no id", None, None), (900, None, "en", "s"), (901, " \n ", "en", "s"), (3, rows[3][1], "en", "s"), (902, "w" * 300000, "en", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    rows = [(i, "plain words of a text " * (i % 5 + 1) if i % 2 else "!!! $$$ ### " * (i % 4 + 1), "en", 7) for i in range(80)]
+    rows += [(None, "no id", None, None), (900, None, "en", 7), (901, " \n ", "en", 7), (3, rows[3][1], "en", 7), (902, "w" * 300000, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source int").selectExpr("*", "'x' as score", "1 as _text", "2 as mark", "3 as y")
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(60)] + [(1, 1, None), (None, 1, None), (61, None, None)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.score_quality(spark, docs, labels).collect()}
+    out = quality.score_quality(spark, docs, labels)
+    assert out.columns == ["doc_id", "text", "lang", "source", "_text", "mark", "y", "score", "content_score", "meta_score", "kept"] and dict(out.dtypes)["source"] == "int"
+    got = {r.doc_id: r for r in out.collect()}
     assert len(got) == 84 and got[900].score == 0 == got[901].score and not got[900].kept
     assert all(got[i].kept == bool(i % 2) for i in range(80))
-    none = quality.score_quality(spark, docs, labels.limit(0)).where("kept").count()
-    assert none == len(rows) - 2
+    few = spark.createDataFrame([(i, 1, None) for i in range(1, 60, 2)] + [(0, 0, None)], labels.schema)  # one document of a class teaches nothing
+    for some in (labels.limit(0), few):
+        assert quality.score_quality(spark, docs, some).where("kept and score = 1").count() == len(rows) - 2
     assert quality.score_quality(spark, docs.limit(0), labels).count() == 0
 
 
+def test_labelled_rows_of_one_id_are_one(spark):
+    rows = [(i, "plain words of a text here" if i % 2 else "!!! $$$ ###", "en", "s", 1) for i in range(60)] + [(1, "plain words of a text here", "en", "s", 1)] * 500
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit_quality(spark, docs, labels, Scratch(spark, "t"))
+    assert abs(model.prior - 0.5) < 1e-9
+
+
 def test_views_help_each_other():
     rng = np.random.default_rng(0)
     y = (rng.random(300) < 0.5).astype(float)
     content, meta = y[:, None] * 2 + rng.normal(size=(300, 5)), y[:, None] * 1.5 + rng.normal(size=(300, 4))
     hidden = (rng.random(600) < 0.5).astype(float)
     pool = hidden[:, None] * 2 + rng.normal(size=(600, 5)), hidden[:, None] * 1.5 + rng.normal(size=(600, 4))
-    model = quality.CoTrained.fit(content[:60], meta[:60], y[:60], *pool)
+    model = quality.CoTrained(content[:60], meta[:60], y[:60])
+    alone = model.score(content[60:], meta[60:])
+    for _ in range(quality.ROUNDS):
+        model.exchange(sum(model.pseudo(pool[0][k : k + 100], pool[1][k : k + 100]) for k in range(0, 600, 100)))  # as tasks sum
     both, a, b = model.score(content[60:], meta[60:])
     right = lambda p: ((p > 0.5) == (y[60:] == 1)).mean()
-    assert right(both) > 0.93 and right(both) >= min(right(a), right(b))
+    assert right(both) > 0.93 and right(both) >= min(right(a), right(b)) and right(both) >= right(alone[0]) - 0.01
+    for p in (both, a, b):  # calibrated: what is said with some probability is so about as often
+        sure = p > 0.8
+        assert abs((y[60:][sure] == 1).mean() - p[sure].mean()) < 0.12
+
+
+def test_a_round_equals_a_fit_on_all_rows():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(400, 3)), (rng.random(400) < 0.5).astype(float)
+    start = quality.Logistic.of(x).fit(x[:200], y[:200])
+    sums = start.sums(x[200:][y[200:] == 0], 0.0) + start.sums(x[200:][y[200:] == 1], 1.0)
+    more = sums[1:5], sums[5:].reshape(4, 4)
+    assert sums[0] == 200 and np.allclose(start.fit(x[:200], y[:200], more=more).weights, start.fit(x, y).weights, atol=0.02)
