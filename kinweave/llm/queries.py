@@ -111,7 +111,7 @@ URL_RULES = (
     url_filter.host_rule("allow", "www.example.com", "/en/"),
     url_filter.host_rule("block", "net", "/es/"),
     url_filter.host_rule("block", "net", "/fr/"),
-    *url_filter.PATTERN_RULES,
+    *url_filter.list_rules(url_filter.BLOCK_LIST),
 )
 
 
@@ -171,7 +171,7 @@ ORACLES["op6_url_filter"] = r"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2) AS path FROM pages
-), h AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, '.' || coalesce(host, '') AS dotted, coalesce(host, '') || ' ' || coalesce(path, '') AS t FROM u),
+), h AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, '.' || coalesce(host, '') AS dotted, coalesce(host, '') || coalesce(path, '') AS t FROM u),
 j AS (
   SELECT page_id, host, path,
     CASE WHEN ends_with(dotted, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -179,9 +179,12 @@ j AS (
       WHEN ends_with(dotted, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
       WHEN ends_with(dotted, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
       WHEN ends_with(dotted, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-    CASE WHEN regexp_matches(t, '^[^ ]*\b(?:porn|xxx|sex)\b') THEN 'adult' WHEN regexp_matches(t, '\bcasino\b') THEN 'casino'
-      WHEN regexp_matches(t, '^(?:[^ ]*\.)?doubleclick\.net ') THEN 'doubleclick' WHEN regexp_matches(t, '^[^ ]+ /(?:[^ ]*/)?(?:login|signin)/?') THEN 'login'
-      WHEN regexp_matches(t, '\bviagra\b') THEN 'viagra' WHEN regexp_matches(t, '^[^ ]+ /(?:[^ ]*/)?wp-admin/') THEN 'wp-admin' END AS pattern
+    CASE WHEN regexp_matches(t, '(?i)/login/') THEN '/login/' WHEN regexp_matches(t, '(?i)/login$') THEN '/login|'
+      WHEN regexp_matches(t, '(?i)/signin/') THEN '/signin/' WHEN regexp_matches(t, '(?i)/signin$') THEN '/signin|'
+      WHEN regexp_matches(t, '(?i)/wp-admin/') THEN '/wp-admin/'
+      WHEN regexp_matches(t, '(?i)(?:[^a-z0-9]|^)casino(?:[^a-z0-9]|$)') THEN '^casino^' WHEN regexp_matches(t, '(?i)(?:[^a-z0-9]|^)porn(?:[^a-z0-9]|$)') THEN '^porn^'
+      WHEN regexp_matches(t, '(?i)(?:[^a-z0-9]|^)viagra(?:[^a-z0-9]|$)') THEN '^viagra^' WHEN regexp_matches(t, '(?i)(?:[^a-z0-9]|^)xxx(?:[^a-z0-9]|$)') THEN '^xxx^'
+      WHEN regexp_matches(t, '(?i)^(?:[^/]*\.)?doubleclick\.net(?:[^a-z0-9]|$)') THEN '||doubleclick.net^' END AS pattern
   FROM h
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM j

@@ -138,7 +138,7 @@ def test_files_of_ids_round_trip(spark, library, monkeypatch):
     assert binary_ids.read_ids(spark, empty).count() == 0
 
 
-URLS = ["http://a.com/", "http://a.com", "HTTP://A.COM/x", "http://example.com/en/", "http://www.example.com/en/1", "http://x.www.example.com/en/", "http://xexample.com/en/", "http://b.net/es/?q", "http://b.net/fr", "http://b.net/fr/#x", "http://net/es/", "http://b.org/en/", "nope", "", None, "://h.com/p://q", "http://a.com:80/", "http://a.com?x/", "http://casino.org/", "http://a.org/wp-admin/x", "http://Ä.com/é", "http://sub.example.com/EN/"]
+URLS = ["http://a.com/", "http://a.com", "HTTP://A.COM/x", "http://example.com/en/", "http://www.example.com/en/1", "http://x.www.example.com/en/", "http://xexample.com/en/", "http://b.net/es/?q", "http://b.net/fr", "http://b.net/fr/#x", "http://net/es/", "http://b.org/en/", "nope", "", None, "://h.com/p://q", "http://a.com:80/", "http://a.com?x/", "http://casino.org/", "http://a.org/wp-admin/x", "http://Ä.com/é", "http://sub.example.com/EN/", "http://a b.example.com/en/x", "http://a.org/loginpage", "http://a.org/LOGIN", "http://a.org/x/login/y", "http://x-casino.org", "http://casinos.org", "http://a.org/*/es/", "http://adoubleclick.net/fr", "http://" + "x" * 100000 + ".com/" + "y/" * 50000]
 
 
 def url_brute(url):
@@ -161,11 +161,26 @@ def test_urls_equal_brute_force(spark):
         host, path, best = url_brute(URLS[r.page_id] if r.page_id is not None else URLS[0])
         assert (r.host, r.path, r.rule) == (host, path, best and best[0])
         assert r.verdict == best[1] if best else r.verdict in ("allow", "block")
-    said = {r.page_id: (r.verdict, r.pattern) for r in got}
-    assert said[URLS.index("http://casino.org/")] == ("block", "casino") and said[URLS.index("http://a.org/wp-admin/x")] == ("block", "wp-admin") and said[URLS.index("http://b.org/en/")][0] == "allow"
+    said = {URLS[r.page_id]: (r.verdict, r.pattern) for r in got if r.page_id is not None}
+    assert said["http://casino.org/"] == ("block", "^casino^") == said["http://x-casino.org"] and said["http://a.org/wp-admin/x"] == ("block", "/wp-admin/")
+    assert said["http://a.org/LOGIN"] == ("block", "/login|") and said["http://a.org/x/login/y"] == ("block", "/login/")
+    assert said["http://a.org/loginpage"] == said["http://casinos.org"] == said["http://b.org/en/"] == ("allow", None)
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_rules_of_lists(spark):
+    lines = ["! comment", "", "||ads.example.org^", "|host.net/a", "/track/*/pixel^", "@@^good^", "-bad-|", "^good^"]
+    rules = url_filter.rules_of(spark.createDataFrame([(x,) for x in [*lines, None]], "rule string"))
+    assert {r.name: r.tokens for r in rules} == {"||ads.example.org^": ("ads", "example", "org"), "|host.net/a": ("host", "net"), "/track/*/pixel^": ("track", "pixel"), "@@^good^": ("good",), "-bad-|": ("bad",), "^good^": ("good",)}
+    cases = {"http://x.ads.example.org": "||ads.example.org^", "http://ads.example.orgs/": None, "http://host.net/abc": "|host.net/a", "http://x.host.net/abc": None, "http://a/track/1/2/pixel.gif": "/track/*/pixel^", "http://a/track/pixel": None, "http://a/-bad-": "-bad-|", "http://a/-bad-/": None, "http://a/good": "@@^good^"}
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
+    got = {r.page_id: r.pattern for r in url_filter.filter_urls(df, rules).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    for line in ("login", "*x*", "ads^", "||"):
+        with pytest.raises(ValueError):
+            url_filter.list_rules([line])
     with pytest.raises(ValueError):
-        url_filter.expanded((url_filter.Rule("x", "block", ".*", ()),))
+        url_filter.filter_urls(df, (url_filter.Rule("x", "block", ".*", ()),))
 
 
 KINDS = ("email", "ip", "card", "phone")
