@@ -206,12 +206,12 @@ def base_spans(text):
     return sorted(out)
 
 
-PII = ["", None, "a@b.c_d@e.f x@y.com.z@w.org", "1.2.3.4.5.6.7.8 999.1.1.1 001.02.3.4 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 1 2 3", "+1 (743) 555-3824 +12 +1+2345678901 +4930123456789012345", "é😀 a@b.co 😀+1 234 567 8901", "a@b@c.d..e", "@.@", "please call (743) 555-3824 now", "mail me bob [at] site [dot] com please", "my social number is 123-45-6789.", "1 " * 20000, "a" * 100000, "a." * 30000 + "@b.c", "+1" + "." * 10000, "9" * 30000, "+1-" * 2000, "1.1.1.1 " * 1500, "a@b.c\nd@e.f\n"]
+PII = ["", None, "a@b.c_d@e.f x@y.com.z@w.org", "1.2.3.4.5.6.7.8 999.1.1.1 001.02.3.4 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 1 2 3", "+1 (743) 555-3824 +12 +1+2345678901 +4930123456789012345", "é😀 a@b.co 😀+1 234 567 8901", "a@b@c.d..e", "@.@", "please call (743) 555-3824 now", "mail me bob [at] site [dot] com please", "my social number is 123-45-6789.", "1 " * 20000, "a" * 20000, "a." * 30000 + "@b.c", "+1" + "." * 10000, "9" * 30000, "+1-" * 2000, "1.1.1.1 " * 1500, "a@b.c\nd@e.f\n", 'x token = "24be6443a0b1c2d3e4f5061728394a5b6c7d8e9f" y', "WRITE JOHN [AT] SITE [DOT] COM NOW", "our account is DE89 3704 0044 0532 0130 00 ok", "the key: sk_live_9aB3xQ7LmN2pR5tV8wZ1 here", "password: yourpassword", "see this-is-a-long-title-of-2020 there", "a1" * 5000, "token=" * 5000, "AB12 " * 5000, "DE00 3704 0044 0532 0130 00"]
 
 
 def test_personal_data_equals_brute_force(spark):
     rows = list(enumerate(PII)) + [(None, "q@r.st"), (3, PII[3]), (3, PII[3]), (3, "z@z.zz")]
-    out = pii.pii_of_documents(spark, spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' as spans", "1 as mark", "2 as kind")).collect()
+    out = pii.pii_of_documents(spark, spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' as spans", "1 as mark", "2 as kind", "3 as d", "4 as s")).collect()
     want = []
     for d, t in rows:
         spans = base_spans(t)
@@ -220,10 +220,25 @@ def test_personal_data_equals_brute_force(spark):
     assert sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out), key=repr) == sorted(want, key=repr)
     spans = {r.doc_id: r.spans for r in out}
     assert spans[9] == "local_phone:12:26" and spans[10] == "masked_email:8:31" and spans[11] == "ssn:20:31" and spans[0] == "" == spans[1]
+    assert spans[20] == "secret:2:51" and spans[21] == "masked_email:6:30" and spans[22] == "iban:15:42" and spans[23] == "key:9:37"
+    assert spans[24] == spans[25] == spans[29] == ""
     assert "local_phone" not in spans[5]
     assert pii.pii_of_documents(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_planted_personal_data_is_found_and_clean_documents_are_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    said = re.compile(r"(?i)token = \"[0-9a-f]{40}\"|[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+|\+\d \(\d{3}\) \d{3}|\b\d+\.\d+\.\d+\.\d+\b")
+    planted = {k for k, t in texts.items() if said.search(t)}
+    secrets = {k for k, t in texts.items() if re.search(r"(?i)token = \"[0-9a-f]{40}\"", t)}
+    clean = {k for k, t in texts.items() if k not in planted and not base_spans(t)}
+    out = {r.doc_id: r for r in pii.pii_of_documents(spark, docs).collect()}
+    found = {k for k, r in out.items() if r.n_spans}
+    assert len(secrets) >= 5 and len(planted & found) >= 0.9 * len(planted) and len(clean - found) >= 0.99 * len(clean)
+    assert sum("secret" in out[k].spans for k in secrets) >= 0.9 * len(secrets)  # which the classifier decides
+
+
 def test_labelers_reliability_by_em():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.6
