@@ -98,12 +98,20 @@ def json_in(raw: Column | str) -> Column:
 
 
 def parse_extraction(raw: Column | str) -> Column:
-    """The extraction in a raw answer, lists empty where missing; null where there is no JSON object."""
+    """The extraction in a raw answer, lists empty where missing.
+
+    Null where there is no JSON object, or where an item lacks what it must have: a person a name, a
+    relationship both ends, type, explanation and quote. Empty strings are there.
+    """
     got = F.from_json(json_in(raw), f"people ARRAY<STRUCT<name: STRING, role: STRING>>, relationships {EXTRACTION_DDL.split('relationships ')[1]}")
-    named = lambda x, *keys: F.filter(x, lambda y: ~F.exists(F.array(*(y[k].isNull() for k in keys)), lambda z: z))
-    people = F.coalesce(named(got["people"], "name"), F.array())
-    edges = F.coalesce(named(got["relationships"], "source_person", "target_person", "relation_type"), F.array())
-    return F.when(got.isNotNull() & json_in(raw).isNotNull(), F.struct(people.alias("people"), edges.alias("relationships")))
+    lacks = lambda x, *keys: F.coalesce(F.exists(x, lambda y: F.exists(F.array(y.isNull(), *(y[k].isNull() for k in keys)), lambda z: z)), F.lit(False))
+    wrong = lacks(got["people"], "name") | lacks(got["relationships"], "source_person", "target_person", "relation_type", "explanation", "supporting_quote")
+    people, edges = F.coalesce(got["people"], F.array()), F.coalesce(got["relationships"], F.array())
+    return F.when(got.isNotNull() & json_in(raw).isNotNull() & ~wrong, F.struct(people.alias("people"), edges.alias("relationships")))
+
+
+def _why(raw: Column | str) -> Column:
+    return F.when(json_in(raw).isNull(), F.lit("no JSON object in the answer")).otherwise(F.lit("the answer lacks required fields"))
 
 
 def extract_raw(chunks: DataFrame, client: Client, *, stop: bool = False) -> DataFrame:
@@ -166,7 +174,7 @@ def messages(articles: DataFrame) -> DataFrame:
 def extract_chunks(chunks: DataFrame, client: Client, *, stop: bool = False) -> DataFrame:
     """Per chunk: article_id, chunk_idx, people, relationships, dropped lists, error."""
     got = extract_raw(chunks, client, stop=stop).withColumn("x", parse_extraction("raw"))
-    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("x").isNull(), F.lit("no JSON object in the answer"))
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("x").isNull(), _why("raw"))
     people, edges = merge_lists(F.col("x.people"), F.col("x.relationships"))
     none_p, none_e = (F.from_json(F.lit("[]"), t.split(" ", 1)[1]) for t in (EXTRACTION_DDL.split(", relationships")[0], "relationships" + EXTRACTION_DDL.split(", relationships")[1]))
     rows = got.select("article_id", "chunk_idx", F.coalesce(people, none_p).alias("people"), F.coalesce(edges, none_e).alias("relationships"), error.alias("error"))
@@ -176,7 +184,7 @@ def extract_chunks(chunks: DataFrame, client: Client, *, stop: bool = False) ->
 def extract_articles(chunks: DataFrame, articles: DataFrame, client: Client) -> DataFrame:
     """Per article: failed chunks are passed over, merged and filtered once; all failed, or a blank body, is an error."""
     got = extract_raw(chunks, client).withColumn("x", parse_extraction("raw"))
-    got = got.withColumn("error", F.coalesce("error", F.when(F.col("x").isNull(), F.lit("no JSON object in the answer"))))
+    got = got.withColumn("error", F.coalesce("error", F.when(F.col("x").isNull(), _why("raw"))))
     ordered = F.sort_array(F.collect_list(F.struct("chunk_idx", "x")))
     each = got.groupBy("article_id").agg(ordered.alias("o"), F.count("error").alias("failed"), F.count("*").alias("n"), F.min_by("error", "chunk_idx").alias("why"))
     people, edges = merge_lists(F.flatten(F.transform("o", lambda c: c["x"]["people"])), F.flatten(F.transform("o", lambda c: c["x"]["relationships"])))

@@ -2,8 +2,9 @@
 
 Set-wise resolution can't see aliases and people that earlier mentions of the same article made. Here a
 grouped function replays the mentions in order. Articles share nothing but the alias snapshot, so they
-run in parallel; what they make is merged afterwards, the earliest article first. A group is one article,
-which its own text bounds; the strict mode, one group of all mentions, is for audits and fixtures.
+run in parallel; the people that they make are then resolved against each other by sets, the earliest
+article first (``merge_across``). A group is one article, which its own text bounds; the strict mode, one
+group of all mentions, is for audits and fixtures.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.functions.names import ACCEPT, CANDIDATE, long_tokens, normalize, py_long_tokens, py_normalize, py_similarity
-from kinweave.operators.fuzzy import sharing_pairs, similar_pairs
+from kinweave.operators.fuzzy import sharing_pairs, similar_pairs, subname_pairs
+from kinweave.plans.shared import kept
 
 Chooser = Callable[[str, list[str]], str | None]
 RESOLVED = "article_id string, chunk_idx int, kind string, pos int, surface string, person_id string, canonical_name string, stage string, new_person boolean, new_alias string"
@@ -129,8 +131,8 @@ def mentions_of(extractions: DataFrame) -> DataFrame:
 def resolve_articles(mentions: DataFrame, aliases: DataFrame, *, most_aliases: int = 200_000, strict: bool = False, use_recency: bool = True, use_chooser: bool = True, chooser: Chooser | None = None) -> DataFrame:
     """Mentions with their people. Each article starts from the aliases it can need.
 
-    An article of the parallel mode gets the aliases that set-wise search finds for its names (similar or
-    sharing a token, and those that contest a found person's tokens), never the whole table. The strict mode sends the table, if it is small.
+    An article of the parallel mode gets the aliases that set-wise search finds for its names and two owners
+    of each token that a found person has, never the whole table. The strict mode sends the table, if it is small.
     """
     if strict:
         held = [tuple(r) for r in aliases.select("surface_form", "person_id", "canonical_name").limit(most_aliases + 1).collect()]
@@ -140,7 +142,7 @@ def resolve_articles(mentions: DataFrame, aliases: DataFrame, *, most_aliases: i
         grouped = mentions.withColumn("g", F.lit(0).cast("long"))
     else:
         held = None
-        seeds = relevant_aliases(mentions, aliases)
+        seeds = relevant_aliases(mentions, aliases, chooser=use_chooser and chooser is not None)
         grouped = mentions
 
     def run(rows: pd.DataFrame, given: list) -> pd.DataFrame:
@@ -158,15 +160,73 @@ def resolve_articles(mentions: DataFrame, aliases: DataFrame, *, most_aliases: i
     return grouped.groupBy("article_id").cogroup(seeds.withColumnRenamed("article_id", "seed_article").groupBy("seed_article")).applyInPandas(both, RESOLVED)
 
 
-def relevant_aliases(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """article_id, seeds: the aliases that any of the article's names equals, resembles or shares a long token with."""
+def relevant_aliases(mentions: DataFrame, aliases: DataFrame, *, chooser: bool = False) -> DataFrame:
+    """article_id, seeds: the aliases on which any decision about the article's names depends.
+
+    Those are similar aliases; of the people that a name may be short for, two tell that it is ambiguous, and
+    recency may pick those that the article names otherwise; of a token's owners, two tell that it is
+    contested. With a chooser, also all candidates that it may be shown.
+    """
     names = mentions.select("article_id", normalize("surface").alias("norm")).where("norm <> ''").distinct()
-    pairs = similar_pairs(names, aliases, CANDIDATE).select("norm", "surface_form")
-    pairs = pairs.unionByName(sharing_pairs(names, aliases))
-    wanted = names.join(pairs, "norm").select("article_id", "surface_form").distinct().join(aliases, "surface_form")
-    # whoever shares a token with a person that may be found is needed to know that the token is contested
-    found = wanted.select("article_id", F.explode(long_tokens(normalize("canonical_name"))).alias("token")).distinct()
-    held = aliases.select("surface_form", F.explode(long_tokens(F.col("surface_form"))).alias("token"))
-    more = found.join(held, "token").select("article_id", "surface_form").distinct().join(aliases, "surface_form")
-    wanted = wanted.unionByName(more).distinct()
+    pairs = similar_pairs(names, aliases, CANDIDATE if chooser else ACCEPT).select("norm", "surface_form")
+    if chooser:
+        pairs = pairs.unionByName(sharing_pairs(names, aliases))
+    short = subname_pairs(names, aliases).join(aliases.select("surface_form", "person_id"), "surface_form")
+    two = short.groupBy("norm").agg(F.min(F.struct("person_id", "surface_form")).alias("a"), F.max(F.struct("person_id", "surface_form")).alias("b"))
+    two = two.select("norm", F.explode(F.array("a.surface_form", "b.surface_form")).alias("surface_form"))
+    found = names.join(pairs.unionByName(two).distinct(), "norm").select("article_id", "surface_form").distinct().join(aliases, "surface_form")
+    people = found.select("article_id", "person_id").distinct()
+    named = names.join(short, "norm").join(people, ["article_id", "person_id"]).select("article_id", "surface_form").distinct().join(aliases, "surface_form")
+    token = found.select("article_id", F.explode(long_tokens(normalize("canonical_name"))).alias("token")).distinct()
+    owners = aliases.select("surface_form", "person_id", F.explode(long_tokens(F.col("surface_form"))).alias("token"))
+    owners = owners.groupBy("token").agg(F.min(F.struct("person_id", "surface_form")).alias("a"), F.max(F.struct("person_id", "surface_form")).alias("b"))
+    owners = token.join(owners, "token").select("article_id", F.explode(F.array("a.surface_form", "b.surface_form")).alias("surface_form")).distinct().join(aliases, "surface_form")
+    wanted = found.unionByName(named).unionByName(owners).distinct()
     return wanted.groupBy("article_id").agg(F.sort_array(F.collect_set(F.struct(F.col("surface_form").alias("f"), F.col("person_id").alias("p"), F.col("canonical_name").alias("c")))).alias("seeds"))
+
+
+def _roots(links: DataFrame, keep) -> DataFrame:
+    """person_id, root: where each link (person_id, root) ends. Links lead to earlier people, so they end."""
+    n = -1
+    while True:
+        links = keep(links, "links")
+        next_ = links.select(F.col("person_id").alias("root"), F.col("root").alias("onward"))
+        jumped = links.join(next_, "root", "left").select("person_id", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved"))
+        jumped = keep(jumped, "jumped")
+        n = jumped.where("moved").count()
+        links = jumped.select("person_id", "root")
+        if not n:
+            return links
+
+
+def merge_across(resolved: DataFrame, aliases: DataFrame, *, keep=lambda df, name: kept(df)) -> DataFrame:
+    """``resolved`` with the people that articles made apart brought together, as if the articles had come in order.
+
+    A new person is the one to whom an earlier article's mention gave an equal form; else the one with the
+    most similar earlier form, at least ``ACCEPT`` (ties: the smallest form); else, if the name is short for
+    earlier forms of one person alone and for none of ``aliases``, that person. Forms of different articles
+    belong to the first that claims them. An article's own decisions stay. ``resolved`` is read several times.
+    """
+    place = F.struct("article_id", "chunk_idx", "kind", "pos")
+    made = resolved.where("new_person").groupBy("person_id").agg(F.min(F.struct(place.alias("at"), "canonical_name")).alias("m"))
+    made = keep(made.select("person_id", F.col("m.at").alias("at"), F.col("m.canonical_name").alias("canonical_name"), normalize("m.canonical_name").alias("norm")), "made")
+    if made.limit(2).count() < 2:
+        return resolved
+    forms = resolved.where("new_alias is not null").groupBy(F.col("new_alias").alias("form")).agg(F.min(F.struct(place.alias("at"), F.col("person_id").alias("owner"))).alias("m"))
+    forms = keep(forms.select("form", F.col("m.at").alias("since"), F.col("m.owner").alias("owner")), "forms")
+    named = made.where("norm <> ''")
+    earlier = (F.col("since") < F.col("at")) & (F.col("owner") != F.col("person_id"))
+    exact = named.join(forms, F.col("norm") == F.col("form")).where(earlier).select("person_id", F.col("owner").alias("root"))
+    rest = named.join(exact, "person_id", "left_anti")
+    close = rest.join(similar_pairs(rest, forms, ACCEPT, b="form"), "norm").join(forms, "form").where(earlier)
+    close = close.groupBy("person_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "form", "owner")).alias("m")).select("person_id", F.col("m.owner").alias("root"))
+    same = _roots(exact.unionByName(close), keep)
+    rest = named.join(same, "person_id", "left_anti")
+    owned = forms.join(same.withColumnRenamed("person_id", "owner"), "owner", "left").withColumn("owner", F.coalesce("root", "owner")).drop("root")
+    short = rest.join(subname_pairs(rest, aliases).select("norm").distinct(), "norm", "left_anti")
+    short = short.join(subname_pairs(short, owned, b="form"), "norm").join(owned, "form").where(earlier)
+    short = short.groupBy("person_id").agg(F.min("owner").alias("root"), F.max("owner").alias("other")).where("root = other").select("person_id", "root")
+    moved = keep(_roots(same.unionByName(short), keep), "moved").join(made.select(F.col("person_id").alias("root"), F.col("canonical_name").alias("root_name")), "root", "left")
+    out = resolved.join(moved, "person_id", "left")
+    changed = {"canonical_name": F.coalesce("root_name", "canonical_name"), "new_person": F.col("new_person") & F.col("root").isNull(), "person_id": F.coalesce("root", "person_id")}
+    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in resolved.columns))

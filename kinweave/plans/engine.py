@@ -26,11 +26,12 @@ class Engine:
     def __init__(self, spark: SparkSession, store: Store, *, client: Client | None = None, chooser: Chooser | None = None, registry: Registry | None = None, config: Settings | None = None) -> None:
         self.spark, self.store, self.client, self.chooser = spark, store, client or RuleClient(), chooser
         self.registry, self.config = registry or Registry(), config or settings()
-        self._temp = shared_dir(spark)
+        self._temp, self._made = shared_dir(spark), []
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self._temp}/engine-{uuid.uuid4().hex}-{name}"
         df.write.parquet(at)
+        self._made.append(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def process(self, articles: DataFrame, *, sentences_per_chunk: int | None = None, batch: tuple[str, int] | None = None, max_parallel: int | None = None, strict: bool = False) -> DataFrame:
@@ -43,7 +44,7 @@ class Engine:
         commit, or runs again, doesn't ask for them again.
         """
         between("sentences_per_chunk", sentences_per_chunk, 1)
-        base = self.store.version()
+        base, before = self.store.version(), len(self._made)
         if batch and self.store.has_batch(*batch):
             return self.spark.createDataFrame([], "article_url string, article_id string, title string, people_resolved long, relationships_stored long, extraction_error string, status string, chunks_processed int, total_chunks int, error string")
         tables = self.store.tables(base)
@@ -58,12 +59,17 @@ class Engine:
         fresh = self._keep(got.select("article_id", "body_hash", "chunk_size", "chunk_idx", "people", "relationships", "error"), "fresh")
         fresh.where("error is null").write.mode("append").parquet(f"{self.store.root}/extractions")
         known = plan.where("outcome <> 'done' and not drift").select("article_id", "body_hash", F.col("sentences_per_chunk").alias("chunk_size"), "start_idx")
-        every = self._extractions().dropDuplicates(["article_id", "body_hash", "chunk_size", "chunk_idx"]).join(known, ["article_id", "body_hash", "chunk_size"]).where("chunk_idx >= start_idx").drop("start_idx")
+        asked = self._extractions().join(known, ["article_id", "body_hash", "chunk_size"]).where("chunk_idx >= start_idx").drop("start_idx")
+        every = asked.dropDuplicates(["article_id", "body_hash", "chunk_size", "chunk_idx"])
         every = self._keep(every.unionByName(fresh.where("error is not null")), "every")
         c = self.config
         new, summary = apply_extractions(tables, plan, every, keep=self._keep, strict=strict, use_recency=c.resolver_recency_enabled, use_chooser=c.resolver_llm_fallback_enabled, chooser=self.chooser)
         summary = self._keep(summary, "summary")
         self.store.commit(new, batch=batch, base=base)
+        for at in self._made[before:-1]:  # all but the summary's
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del self._made[before:]
         return summary
 
     def _extractions(self) -> DataFrame:

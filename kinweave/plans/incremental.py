@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.functions.text import body_hash, chunk_size, chunks, sentences
 from kinweave.operators import upserts
 from kinweave.operators.ordered import frontier
-from kinweave.operators.resolve_state import Chooser, mentions_of, resolve_articles
+from kinweave.operators.resolve_state import Chooser, mentions_of, merge_across, resolve_articles
 from kinweave.plans.store import Change
 from kinweave.schemas import stable_id
 
@@ -53,8 +53,8 @@ def apply_extractions(tables: dict[str, DataFrame], plan: DataFrame, extractions
     """Each table's change, and a summary for each url, from the chunks of ``extractions`` (article_id, chunk_idx, people, relationships, error).
 
     Only chunks before an article's first error count. ``keep`` may write a DataFrame that several plans
-    read. Names resolve article by article against the aliases as they were; of two articles that claim a
-    form, the earlier by article_id keeps it, and each keeps its own decisions.
+    read. Names resolve article by article against the aliases as they were, and the people that articles
+    of the batch made against each other, the earlier by article_id first.
     """
     resets = plan.where("outcome = 'reset' and not drift").select("article_id", "body_hash", "sentences_per_chunk", "total_chunks")
     reset_rows, gone_edges, gone_provenance = upserts.reset_changes(tables["articles"], tables["relationships"], tables["provenance"], resets)
@@ -67,6 +67,8 @@ def apply_extractions(tables: dict[str, DataFrame], plan: DataFrame, extractions
     good = keep(frontier(extractions.withColumn("failed", F.col("error").isNotNull())).drop("failed"), "good")
     snapshot = tables["aliases"].join(tables["people"].select("person_id", "canonical_name"), "person_id").select("surface_form", "person_id", "canonical_name")
     resolved = keep(resolve_articles(mentions_of(good), snapshot, strict=strict, use_recency=use_recency, use_chooser=use_chooser, chooser=chooser), "resolved")
+    if not strict:
+        resolved = keep(merge_across(resolved, snapshot, keep=keep), "merged")
     people = upserts.new_people(tables["people"], resolved.where("new_person").select("canonical_name"))
     claimed = resolved.where("new_alias is not null")
     if not persist_recency_aliases:

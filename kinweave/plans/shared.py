@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset and one machine does all, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="kinweave-"))
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: cuts lineage."""
+    at = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

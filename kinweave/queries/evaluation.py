@@ -22,12 +22,12 @@ def a9_a10_prf_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("lang", "tp", "fp", "fn", *(F.round(x, 9).alias(x) for x in ("precision", "recall", "f1")))
 
 
-_SETS = "WITH d AS (SELECT doc_id, list_distinct(string_split(left(text, 120), ' ')) AS p, list_distinct(string_split(substr(text, 61, 120), ' ')) AS g FROM documents), c AS (SELECT doc_id, len(list_intersect(p, g)) AS tp, len(p) - len(list_intersect(p, g)) AS fp, len(g) - len(list_intersect(p, g)) AS fn FROM d) "
+_SETS = "WITH d AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS p, list_distinct(string_split(lower(text), ' ')) AS g FROM documents), c AS (SELECT doc_id, len(list_intersect(p, g)) AS tp, len(p) - len(list_intersect(p, g)) AS fp, len(g) - len(list_intersect(p, g)) AS fn FROM d) "
 
 
 @query(_SETS + f"SELECT doc_id, tp, fp, fn, round(f1, 9) AS f1 FROM (SELECT *, {_PRF} FROM c)")
 def a8_prf_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.left("text", F.lit(120)), " ").alias("p"), F.split(F.substring("text", 61, 120), " ").alias("g"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("p"), F.split(F.lower("text"), " ").alias("g"))
     return evaluate.with_scores(docs.select("doc_id", *evaluate.score_sets(F.col("p"), F.col("g")))).select("doc_id", "tp", "fp", "fn", F.round("f1", 9).alias("f1"))
 
 

@@ -88,10 +88,10 @@ def s11_long_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.long_date(raw).alias("at"))
 
 
-@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' END, ''), nullif(CASE WHEN doc_id % 3 = 0 THEN source END, ''), lang) AS title, md5(trim(replace(chr(160) || left(text, 50) || chr(10), chr(160), ' '), ' ' || chr(9) || chr(10) || chr(13))) AS cleaned FROM documents")
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' END, ''), nullif(CASE WHEN doc_id % 3 = 0 THEN source END, ''), lang) AS title, md5(trim(replace(chr(160) || text || chr(10), chr(160), ' '), ' ' || chr(9) || chr(10) || chr(13))) AS cleaned FROM documents")
 def s7_s13_first_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = text.first_filled(F.when(F.col("doc_id") % 2 == 0, F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.col("source")), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.md5(text.clean(F.concat(F.lit(" "), F.left("text", F.lit(50)), F.lit("\n")))).alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.md5(text.clean(F.concat(F.lit(" "), "text", F.lit("\n")))).alias("cleaned"))
 
 
 @query("SELECT page_id, url FROM pages WHERE url = (SELECT min(url) FROM pages)")

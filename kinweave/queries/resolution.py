@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import fuzzy, resolve
-from kinweave.operators.resolve_state import resolve_articles
+from kinweave.operators.resolve_state import merge_across, resolve_articles
+from kinweave.plans.shared import kept
 from kinweave.queries.registry import query, table
 from kinweave.queries.text import normal_sql
 
@@ -121,3 +122,30 @@ def r4_article_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     surface = F.when(F.col("l_partkey") % 2 == 1, F.get(F.split("p_name", " "), F.lit(1))).otherwise(F.col("p_name"))
     mentions = named.select(F.col("l_orderkey").cast("string").alias("article_id"), F.lit(0).alias("chunk_idx"), F.lit("1person").alias("kind"), F.col("l_partkey").cast("int").alias("pos"), surface.alias("surface"))
     return resolve_articles(mentions, aliases_of(spark, sf_dir)).select("article_id", "pos", "surface", "canonical_name", "stage", "new_person")
+
+
+_ACROSS = (
+    _BASE.replace("WITH aliases", "WITH RECURSIVE aliases", 1)
+    + """, n AS (SELECT surface, norm, md5(surface) AS pl, list_filter(string_split(norm, ' '), lambda x: length(x) >= 4) AS mine FROM names),
+forms AS (SELECT norm AS form, min(pl) AS since, arg_min(surface, pl) AS owner FROM n WHERE norm <> '' GROUP BY norm),
+e AS (SELECT surface AS p, norm, mine, form, since, owner, 1.0 - levenshtein(norm, form)::DOUBLE / greatest(length(norm), length(form), 1) AS s FROM n JOIN forms ON since < pl AND owner <> surface WHERE norm <> ''),
+same AS (SELECT p, owner AS r FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s DESC, form) AS rn FROM e WHERE s >= 0.8 - 1e-9) WHERE rn = 1),
+walk AS (SELECT p, r, 0 AS d FROM same UNION ALL SELECT w.p, s.r, d + 1 FROM walk w JOIN same s ON w.r = s.p),
+fst AS (SELECT p, arg_max(r, d) AS r FROM walk GROUP BY p),
+short AS (SELECT e.p, min(coalesce(f.r, e.owner)) AS r FROM e LEFT JOIN fst f ON f.p = e.owner WHERE e.p NOT IN (SELECT p FROM fst) AND len(mine) > 0 AND list_has_all(string_split(form, ' '), mine)
+  GROUP BY e.p HAVING count(DISTINCT coalesce(f.r, e.owner)) = 1),
+links AS (SELECT p, r FROM fst UNION ALL SELECT p, r FROM short),
+walk2 AS (SELECT p, r, 0 AS d FROM links UNION ALL SELECT w.p, s.r, d + 1 FROM walk2 w JOIN links s ON w.r = s.p),
+ends AS (SELECT p, arg_max(r, d) AS r FROM walk2 GROUP BY p)
+SELECT surface, coalesce(r, surface) AS canonical_name, r IS NULL AS new_person FROM n LEFT JOIN ends ON p = surface"""
+)
+
+
+@query(_ACROSS)
+def r4_across_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An article for each surface, none of which is known: who they are to each other."""
+    surfaces = surfaces_of(aliases_of(spark, sf_dir))
+    mentions = surfaces.select(F.md5("surface").alias("article_id"), F.lit(0).alias("chunk_idx"), F.lit("1person").alias("kind"), F.lit(0).alias("pos"), "surface")
+    none = aliases_of(spark, sf_dir).limit(0)
+    found = kept(resolve_articles(mentions, none))
+    return merge_across(found, none).select("surface", "canonical_name", "new_person")

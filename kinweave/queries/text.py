@@ -86,14 +86,12 @@ def _org_sql(x: str) -> str:
     return rf"({low} = '' OR {low} IN ({_ORGS}) OR regexp_replace(list_extract(string_split({low}, ' '), -1), '[.,;:!?]+$', '') IN ({_SUFF}))"
 
 
-_NAME_SQL = "CASE doc_id % 3 WHEN 0 THEN [{}][(doc_id // 3 % {})::INT + 1] WHEN 1 THEN string_split(text, ' ')[1] || ' ' || coalesce(string_split(text, ' ')[2], '') ELSE string_split(text, ' ')[1] || ' Inc.' END".format(", ".join(f"'{x}'" for x in _CASES), len(_CASES))
+_NAME_SQL = "CASE doc_id % 3 WHEN 0 THEN [{}][(doc_id // 3 % {})::INT + 1] WHEN 1 THEN text ELSE text || ' Inc.' END".format(", ".join(f"'{x}'" for x in _CASES), len(_CASES))
 
 
 def _name():
-    w = F.split("text", " ")
     case = F.element_at(F.array(*map(F.lit, _CASES)), (F.floor(F.col("doc_id") / 3) % len(_CASES) + 1).cast("int"))
-    two = F.concat(F.get(w, F.lit(0)), F.lit(" "), F.coalesce(F.get(w, F.lit(1)), F.lit("")))
-    return F.when(F.col("doc_id") % 3 == 0, case).when(F.col("doc_id") % 3 == 1, two).otherwise(F.concat(F.get(w, F.lit(0)), F.lit(" Inc.")))
+    return F.when(F.col("doc_id") % 3 == 0, case).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.concat("text", F.lit(" Inc.")))
 
 
 @query(f"SELECT doc_id, name, {_org_sql('name')} AS flagged FROM (SELECT doc_id, {_NAME_SQL} AS name FROM documents)")
@@ -139,10 +137,10 @@ def x4_extract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_chunks(extract.messages(docs), extract.RuleClient()).select("article_id", "chunk_idx", F.size("people").alias("n_people"), F.size("relationships").alias("n_edges"), "error")
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text[:200], ' '), lambda x: trim(replace(x, chr(160), ' '), ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS l FROM documents)
+@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: trim(replace(x, chr(160), ' '), ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), ', ') AS author FROM s""")
 def s8_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.split(F.left("text", F.lit(200)), " ")
+    listed = F.split("text", " ")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.distinct_names(listed), ", ").alias("author"))
 
 

@@ -194,6 +194,10 @@ def test_chunk_and_article_extraction(spark):
     got = {(r.article_id, r.chunk_idx): r for r in extract.extract_chunks(chunks, Canned(answers)).collect()}
     assert [p.name for p in got["a", 0].people] == ["Ann Poe"] and len(got["a", 0].relationships) == 1 and got["a", 0].dropped_people == ["OpenAI"]
     assert got["a", 1].error == "down" and got["b", 1].error.startswith("no JSON")
+    lacking = [{"people": [{"role": "x"}]}, {"people": [None]}, *({"people": [], "relationships": [{k: v for k, v in edge.items() if k != gone}]} for gone in edge)]
+    asked = spark.createDataFrame([("c", i, f"l{i}") for i in range(len(lacking))], chunks.schema)
+    wrong = extract.extract_chunks(asked, Canned({f"l{i}": json.dumps(x) for i, x in enumerate(lacking)})).collect()
+    assert len(wrong) == 7 and all(r.error == "the answer lacks required fields" and r.people == [] == r.relationships for r in wrong)
     arts = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "  ")], "article_id string, body_text string")
     whole = {r.article_id: r for r in extract.extract_articles(chunks, arts, Canned(answers)).collect()}
     assert [p.name for p in whole["a"].people] == ["Ann Poe", "Max Moe"] and whole["a"].error is None
