@@ -1,7 +1,7 @@
 """Removal of repeated passages by overlapping three-line windows.
 
 A line is what line feeds part; a line is parted again after every sentence end, so that a passage inside
-a paragraph has lines of its own. Every three consecutive lines of a document are a window, hashed to 128
+a paragraph has lines of its own. Every three consecutive lines of a document are a window, hashed to 96
 bits, but for windows of blank lines. A passage may begin and end in mid-sentence, so runs of ``RUN`` words
 are windows too: a run begins at the leftmost smallest key of every ``NEAR`` words in a row, which depends on
 the words nearby alone, so every passage of ``2 * NEAR - 2 + RUN`` = 50 words holds a run, the same one
@@ -10,8 +10,8 @@ position, stays; what later places cover, merged, is cut out of the text, and th
 
 Null text stays null and has no lines; empty text has one blank line; a document of fewer than three lines
 has no window of lines, and one of fewer than ``RUN`` words no run. Very long texts are treated like any
-other. A null doc_id sorts first. Rows of equal doc_id and text are one document (told apart by 128 bits of
-the text's hash): they get the same decision. An empty table gives an empty table. Extra columns stay as
+other. Rows of equal doc_id and text are one document: they get the same decision. Rows without a doc_id are
+told apart by 128 bits of their text's hash, 64 of which take the id's place in the order. An empty table gives an empty table. Extra columns stay as
 they are, whatever their names; columns named n_lines and n_removed are replaced.
 """
 
@@ -142,29 +142,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, scratch: Scratch | None
                 runs, at, more = runs_of(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
                 both = np.concatenate([np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2), more])
                 owner = pa.array(np.concatenate([*owners, runs]).astype(np.int64))
-                own = [some[x].take(owner) for x in ("name", "m1", "m2")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), *own, pa.array(np.concatenate([*places, at]))], names=["h1", "h2", "name", "m1", "m2", "place"])
+                hashes = pa.array(np.ascontiguousarray(both[:, 0])), pa.array((both[:, 1] >> 32).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*hashes, some["name"].take(owner), some["mark"].take(owner), pa.array(np.concatenate([*places, at]))], names=["h1", "h2", "name", "mark", "place"])
         release()
 
-    marks = {"m1": F.xxhash64("text"), "m2": F.xxhash64(F.lit(1), F.col("text"))}
-    every = docs.select(F.col("doc_id").cast("long").alias("name"), *(v.alias(k) for k, v in marks.items()), "text").mapInArrow(windows, "h1 long, h2 long, name long, m1 long, m2 long, place long")
+    who, what = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.xxhash64(F.lit(1), F.col("text"))
+    every = docs.select(who.alias("name"), what.alias("mark"), "text").mapInArrow(windows, "h1 long, h2 int, name long, mark long, place long")
     found, found_at = scratch.write(every, "windows")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("name", "m1", "m2", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("name", "mark", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     first, first_at = scratch.write(first, "repeated")
     # merge joins at every size: what is shuffled then grows as the input does, and Spark can split hot windows
-    same = F.lit(True)
-    for x in ("name", "m1", "m2", "place"):
-        same = same & F.col(x).eqNullSafe(F.col(f"first.{x}"))
-    later = found.join(first.hint("merge"), ["h1", "h2"]).where(~same)
-    later, later_at = scratch.write(later.groupBy("name", "m1", "m2").agg(F.sort_array(F.collect_set("place")).alias("places")), "later")
+    later = found.join(first.hint("merge"), ["h1", "h2"]).where(F.struct("name", "mark", "place") != F.col("first"))
+    later, later_at = scratch.write(later.groupBy("name", "mark").agg(F.sort_array(F.collect_set("place")).alias("places")), "later")
     scratch.drop(found_at)
     scratch.drop(first_at)
 
     fields = [x for x in docs.schema.fields if x.name not in ("text", "n_lines", "n_removed")]
-    name, m1, m2, places = private(docs.columns, "name", "m1", "m2", "places")
-    keyed = docs.withColumns({name: F.col("doc_id").cast("long"), m1: marks["m1"], m2: marks["m2"]})
-    gone = later.select(F.col("name").alias("g"), F.col("m1").alias("g1"), F.col("m2").alias("g2"), F.col("places").alias(places))
-    joined = keyed.join(gone.hint("merge"), keyed[name].eqNullSafe(gone["g"]) & (keyed[m1] == gone["g1"]) & (keyed[m2] == gone["g2"]), "left")
+    name, mark, places = private(docs.columns, "name", "mark", "places")
+    keyed = docs.withColumns({name: who, mark: what})
+    joined = keyed.join(later.withColumnsRenamed({"name": name, "mark": mark, "places": places}).hint("merge"), [name, mark], "left")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,5 +176,5 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, scratch: Scratch | None
 
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     scratch.sweep(later_at)
-    out = joined.select(*(keyed[x.name] for x in fields), keyed["text"], places).mapInArrow(rebuild, schema)
+    out = joined.select(*(x.name for x in fields), "text", places).mapInArrow(rebuild, schema)
     return out.select(*(x for x in docs.columns if x not in ("n_lines", "n_removed")), "n_lines", "n_removed")

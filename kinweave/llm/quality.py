@@ -224,12 +224,13 @@ def _added(df: DataFrame, size: int) -> np.ndarray:
                 total += np.frombuffer(x.as_buffer(), dtype="<f8")
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    width = max(8, (plan_bytes(df) >> 27) // 32)
+    tasks = plan_bytes(df) // df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    width = max(8, tasks // 16)
     while True:
         df = df.repartition(width).mapInArrow(add, "sums binary")
         if width <= 8:
             break
-        width = max(8, width // 32)
+        width = max(8, width // 16)
     return sum((np.frombuffer(r["sums"], dtype="<f8") for r in df.collect()), np.zeros(size))  # eight rows
 
 

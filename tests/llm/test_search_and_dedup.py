@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from kinweave.llm import decontamination, license_scan, line_dedup, ngram_jaccard, vector_dedup
@@ -112,7 +113,7 @@ def runs_brute(text):
 
 
 def lines_brute(rows):
-    key = lambda k: (rows[k][0] is not None, rows[k][0] or 0)
+    key = lambda k: rows[k][0] if rows[k][0] is not None else int(np.uint64(xxhash.xxh64_intdigest(rows[k][1], 42)).astype(np.int64))
     first, places = {}, {}
     for k in sorted((k for k, (_, t) in enumerate(rows) if t is not None), key=key):
         text = rows[k][1]
