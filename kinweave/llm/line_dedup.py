@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from kinweave.llm.shingles import mix, word_hashes
 from kinweave.llm.storage import Scratch, private
 from kinweave.llm.tokens import parts, release
 
-NEAR, RUN = 17, 18
+NEAR, RUN = 19, 14
 _CUT = re.compile(r"\n|(?<=[.!?]) +")
 _BLANK = " \t\n\v\f\r"
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -51,12 +52,17 @@ def place(first, end, run: int):
     return first << 32 | (end - first) << 1 | run
 
 
-def windows_of(text: str) -> tuple[list[int], list[bytes]]:
-    """Places and digests of the windows of three lines."""
+def windows_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows of three lines: each line is hashed once, to 128 bits, and three are mixed."""
     lines, begins = lines_of(text)
-    some = [bool(x.strip(_BLANK)) for x in lines]
-    at = [i for i in range(len(lines) - 2) if some[i] or some[i + 1] or some[i + 2]]
-    return [place(begins[i], begins[i + 3], 0) for i in at], [xxhash.xxh3_128_digest("\n".join(lines[i : i + 3]).encode("utf-8", "surrogatepass")) for i in at]
+    if len(lines) < 3:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
+    each = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), dtype="<u8").reshape(-1, 2)
+    some = np.array([bool(x.strip(_BLANK)) for x in lines])
+    at = np.flatnonzero(some[:-2] | some[1:-1] | some[2:])
+    mixed = mix(mix(mix(each[at]) + each[at + 1]) + each[at + 2])
+    ends = np.array(begins)
+    return place(ends[at], ends[at + 3], 0), mixed.view(np.int64)
 
 
 def _beginnings(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -137,10 +143,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, scratch: Scratch | None
                 for k, text in enumerate(texts):
                     at, found = windows_of(text)
                     owners.append(np.full(len(at), k))
-                    places.append(np.array(at, dtype=np.int64))
-                    digests += found
+                    places.append(at)
+                    digests.append(found)
                 runs, at, more = runs_of(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
-                both = np.concatenate([np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2), more])
+                both = np.concatenate([*digests, more])
                 owner = pa.array(np.concatenate([*owners, runs]).astype(np.int64))
                 hashes = pa.array(np.ascontiguousarray(both[:, 0])), pa.array((both[:, 1] >> 32).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*hashes, some["name"].take(owner), some["mark"].take(owner), pa.array(np.concatenate([*places, at]))], names=["h1", "h2", "name", "mark", "place"])
@@ -164,14 +170,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, scratch: Scratch | None
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, totals, gone = [], [], []
-            for text, places in zip(batch.column(len(fields)), batch.column(len(fields) + 1), strict=True):
-                text, places = text.as_py(), places.as_py()
-                totals.append(0 if text is None else sum(1 for _ in _CUT.finditer(text)) + 1)
-                text, lost = without(text, places) if places else (text, 0)
-                texts.append(text)
-                gone.append(lost)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=[*(x.name for x in fields), "text", "n_lines", "n_removed"])
+            column, places = batch.column(len(fields)), batch.column(len(fields) + 1)
+            cuts = pc.add(pc.count_substring(column, "\n"), pc.count_substring_regex(column, "[.!?] +"))
+            totals = pc.fill_null(pc.add(cuts, 1).cast(pa.int64()), 0)
+            touched = np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False))
+            done = [without(column[i].as_py(), places[i].as_py()) for i in touched.tolist()]
+            gone = np.zeros(batch.num_rows, dtype=np.int64)
+            gone[touched] = [x for _, x in done]
+            changed = np.zeros(batch.num_rows, dtype=bool)
+            changed[touched] = True
+            texts = pc.replace_with_mask(column.cast(pa.string()), pa.array(changed), pa.array([x for x, _ in done], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], texts, totals, pa.array(gone)], names=[*(x.name for x in fields), "text", "n_lines", "n_removed"])
         release()
 
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])

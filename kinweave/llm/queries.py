@@ -76,18 +76,18 @@ WITH pieces AS (
   SELECT *, (unicode(w[1]) * 7 + unicode(w[n // 2 + 1]) * 31 + unicode(w[n]) * 127 + n * 8191) % 1009 AS key, count(*) OVER (PARTITION BY doc_id) AS total FROM words
 ), begins AS (
   SELECT DISTINCT doc_id, least % 100000000 AS k FROM (
-    SELECT doc_id, k, total, min(key::BIGINT * 100000000 + k) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 16 FOLLOWING) AS least FROM keyed)
-  WHERE k + 16 <= total
+    SELECT doc_id, k, total, min(key::BIGINT * 100000000 + k) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 18 FOLLOWING) AS least FROM keyed)
+  WHERE k + 18 <= total
 ), spans AS (
-  SELECT doc_id, k, a, coalesce(lead(a, 18) OVER w, chars) AS b, total,
-    string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 17 FOLLOWING) AS run
+  SELECT doc_id, k, a, coalesce(lead(a, 14) OVER w, chars) AS b, total,
+    string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS run
   FROM keyed WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 ), later AS (
   SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, a) AS rn FROM wins
     WHERE win IS NOT NULL AND regexp_matches(win, '[^ \t\n\x0B\f\r]')) WHERE rn > 1
   UNION ALL
   SELECT doc_id, a, b FROM (SELECT doc_id, a, b, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS rn
-    FROM spans JOIN begins USING (doc_id, k) WHERE k + 17 <= total) WHERE rn > 1
+    FROM spans JOIN begins USING (doc_id, k) WHERE k + 13 <= total) WHERE rn > 1
 ), marked AS (
   SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM later
 ), islands AS (
