@@ -10,8 +10,9 @@ their words in common, which holds for 12 equal words in a row as well as for on
 enumeration: whichever words are substituted in a window that passes, of 8 to 16 words, one mask fits.
 
 Words are runs of letters and digits, without regard to case. Items of fewer than ``LEAST_WORDS`` words,
-null items and null texts match nothing. All columns of the documents stay; repeated rows are judged one
-by one.
+null items and null texts match nothing; very long texts are searched whole. All columns of the documents
+stay, whatever their names, but one named hits, which is replaced; repeated rows are judged one by one. An
+empty table of documents gives an empty table, an empty benchmark no hit.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ document's or a pair's figure:
 Sets of shingle hashes stand for the sets of shingles (58 bits or more of a 64-bit hash). Long lists of one
 shingle are dealt out as tiles, so no task holds an unbounded list. Null or empty text: an empty set,
 linked with nothing. Rows are told apart by their place, so repeated ids and rows are fine; a null doc_id
-is in no way smallest. Extra columns are not read.
+is in no way smallest. Very long texts count whole; an empty table gives no row. Extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
