@@ -11,7 +11,7 @@ templates that a unit reaches, the most similar names its licence; of overlappin
 similar stays.
 
 Templates are a fixed set of the package. Null or empty text matches nothing. A unit of one word has no
-bigram. Very long texts are scanned whole. Of templates equally similar, the last by name is named. All columns
+bigram. Very long texts are scanned whole. Of templates equally similar, the first by name counts. All columns
 of the documents stay, whatever their names, but one named licences, which is replaced; repeated rows are
 scanned one by one. An empty table gives an empty table.
 """
