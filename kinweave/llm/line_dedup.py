@@ -10,7 +10,8 @@ position, stays; what later places cover, merged, is cut out of the text, and th
 
 Null text stays null and has no lines; empty text has one blank line; a document of fewer than three lines
 has no window of lines, and one of fewer than ``RUN`` words no run. Very long texts are treated like any
-other. Rows of equal doc_id and text are one document: they get the same decision. Rows without a doc_id are
+other. Rows of equal doc_id and text are one document: they get the same decision. Of different texts under one
+doc_id any may count as the first; that choice is written before it is used. Rows without a doc_id are
 told apart by 128 bits of their text's hash, 64 of which take the id's place in the order. An empty table gives an empty table. Extra columns stay as
 they are, whatever their names; columns named n_lines and n_removed are replaced.
 """
@@ -118,6 +119,21 @@ def runs_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, place(firsts[at] - begins[text], ends - begins[text], 1), np.stack(digest, axis=1).view(np.int64)
 
 
+def repeats(owner: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which windows their own text holds at an earlier place, too."""
+    out = np.zeros(len(owner), dtype=bool)
+    if not len(owner):
+        return out
+    key = hashes[:, 0] + owner * np.int64(0x1E3779B97F4A7C15)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    some = order[np.append(same, False) | np.insert(same, 0, False)]
+    some = some[np.lexsort((places[some], hashes[some, 1], hashes[some, 0], owner[some]))]
+    a, b = some[:-1], some[1:]
+    out[b] = (owner[a] == owner[b]) & (hashes[a] == hashes[b]).all(axis=1)
+    return out
+
+
 def without(text: str, places: list[int]) -> tuple[str, int]:
     """The text without what the places cover, and how many characters that is."""
     out, at, gone = [], 0, 0
@@ -147,18 +163,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, scratch: Scratch | None
                     digests.append(found)
                 runs, at, more = runs_of(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
                 both = np.concatenate([*digests, more])
-                owner = pa.array(np.concatenate([*owners, runs]).astype(np.int64))
-                hashes = pa.array(np.ascontiguousarray(both[:, 0])), pa.array((both[:, 1] >> 32).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*hashes, some["name"].take(owner), some["mark"].take(owner), pa.array(np.concatenate([*places, at]))], names=["h1", "h2", "name", "mark", "place"])
+                both[:, 1] >>= 32
+                owner, at = np.concatenate([*owners, runs]).astype(np.int64), np.concatenate([*places, at])
+                at = np.where(repeats(owner, at, both), ~at, at)
+                hashes, owner = (pa.array(np.ascontiguousarray(both[:, 0])), pa.array(both[:, 1].astype(np.int32))), pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*hashes, some["name"].take(owner), some["mark"].take(owner), pa.array(at)], names=["h1", "h2", "name", "mark", "place"])
         release()
 
     who, what = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.xxhash64(F.lit(1), F.col("text"))
     every = docs.select(who.alias("name"), what.alias("mark"), "text").mapInArrow(windows, "h1 long, h2 int, name long, mark long, place long")
     found, found_at = scratch.write(every, "windows")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("name", "mark", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    # places below 0 are repeats within a text; of the others a text has one for each window, so numbers that hash aggregates can hold say which text is first
+    single = found.where("place >= 0")
+    first = single.groupBy("h1", "h2").agg(F.min("name").alias("least"), F.min_by("mark", "name").alias("least_mark"), F.count("*").alias("n")).where("n > 1").drop("n")
     first, first_at = scratch.write(first, "repeated")
     # merge joins at every size: what is shuffled then grows as the input does, and Spark can split hot windows
-    later = found.join(first.hint("merge"), ["h1", "h2"]).where(F.struct("name", "mark", "place") != F.col("first"))
+    later = single.join(first.hint("merge"), ["h1", "h2"]).where("name <> least or mark <> least_mark").select("name", "mark", "place")
+    later = later.unionByName(found.where("place < 0").select("name", "mark", F.bitwise_not("place").alias("place")))
     later, later_at = scratch.write(later.groupBy("name", "mark").agg(F.sort_array(F.collect_set("place")).alias("places")), "later")
     scratch.drop(found_at)
     scratch.drop(first_at)
