@@ -141,3 +141,14 @@ def test_windows_with_snapshot(spark):
     got = recent_owner(contested_running(rows, snap)).orderBy("seq").collect()
     assert [(r.owners, r.contested, r.recent) for r in got] == [(2, True, None), (2, True, "p2"), (3, True, "p2")]
     assert contested_running(rows).where(F.col("contested")).count() == 1
+
+
+def test_long_strings_meet_in_linear_time(spark):
+    rng = random.Random(5)
+    forms = ["".join(rng.choices("abcde ", k=n)) for n in (30, 33, 36, 41, 60, 200)] + ["heer " * 900, "ertionha " * 300]
+    edited = lambda x, share: "".join("" if (r := rng.random()) < share / 2 else c + rng.choice("xy") if r < share else c for c in x)
+    forms += [edited(x, share) for x in forms for share in (0.05, 0.15, 0.2, 0.25)]
+    left, right = spark.createDataFrame([(x,) for x in forms], "norm string"), spark.createDataFrame([(x,) for x in forms], "surface_form string")
+    for least in (0.8, 0.98):
+        got = {(r.norm, r.surface_form): r.similarity for r in similar_pairs(left, right, least).collect()}
+        assert got == {(x, y): py_similarity(x, y) for x in forms for y in forms if py_similarity(x, y) >= least}
