@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.text import let, message, strip
+from kinweave.functions.text import firsts, message, strip
 from kinweave.operators.filters import filter_extraction
 from kinweave.operators.upserts import first_by
 from kinweave.schemas import EXTRACTION_DDL
@@ -153,9 +153,6 @@ def _key(*xs: Column) -> Column:
 def merge_lists(people: Column, relationships: Column) -> tuple[Column, Column]:
     """First of each person and of each edge without case and outer white space, in order."""
 
-    def firsts(xs: Column, key) -> Column:
-        return let(xs, lambda ys: let(F.transform(ys, key), lambda keys: F.filter(ys, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
-
     return firsts(people, lambda p: _key(p["name"])), firsts(relationships, lambda e: _key(e["source_person"], e["target_person"], e["relation_type"]))
 
 

@@ -70,3 +70,23 @@ def test_settings():
         with pytest.raises(ValueError):
             Settings.from_env(bad)
     between("page", None, 1)
+
+
+def test_long_lists_of_names_and_flags_judged_once(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from kinweave.functions.text import distinct_names
+
+    said = [f"Word{i % 9000}" if i % 2 else f"WORD{i % 9000} " for i in range(60000)]
+    want, seen = [], set()
+    for x in (s.replace(" ", " ").strip() for s in said):
+        if x.lower() not in seen:
+            seen.add(x.lower())
+            want.append(x)
+    df = spark.createDataFrame([(said,)], "names array<string>")
+    began = time.time()
+    assert df.select(distinct_names("names").alias("n")).first()["n"] == want
+    assert time.time() - began < 15
+    assert df.select(distinct_names(F.array(F.lit(" a"), F.lit("A "), F.lit(""), F.lit("b"))).alias("n")).first()["n"] == ["a", "b"]
