@@ -63,10 +63,10 @@ def new_relationships(relationships: DataFrame, rows: DataFrame, order: list[Col
 
 
 def new_provenance(provenance: DataFrame, rows: DataFrame, order: list[Column | str] = ("seq",)) -> DataFrame:
-    """By relationship and article: the first quote stays."""
+    """By relationship and article: the first quote stays. Its id is made last, from the keys, and isn't carried."""
     keys = ["rel_id", "article_id"]
-    rows = rows.withColumn("prov_id", stable_id(*keys))
-    return new_rows(provenance, rows, keys, [*order, F.coalesce("quote", F.lit(""))])
+    fresh = new_rows(provenance.drop("prov_id"), rows, keys, [*order, F.coalesce("quote", F.lit(""))])
+    return fresh.withColumn("prov_id", stable_id(*keys)).select(*provenance.columns)
 
 
 def _whole(find):
@@ -115,8 +115,11 @@ def reset_changes(articles: DataFrame, relationships: DataFrame, provenance: Dat
 
 def reset_articles(articles: DataFrame, relationships: DataFrame, provenance: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New (articles, relationships, provenance) after a reset, as whole tables."""
-    rows, gone, _ = reset_changes(articles, relationships, provenance, resets)
+    rows, _, _ = reset_changes(articles, relationships, provenance, resets)
     ids = resets.select("article_id").distinct()
+    # whole tables are read once: a relationship goes if it had provenance and all of it goes
+    told = provenance.select("rel_id", "article_id").join(ids.withColumn("__gone", F.lit(True)), "article_id", "left")
+    gone = told.groupBy("rel_id").agg(F.min(F.coalesce("__gone", F.lit(False))).alias("all")).where("all").select("rel_id")
     return articles.join(ids, "article_id", "left_anti").select(*articles.columns).unionByName(rows), relationships.join(gone, "rel_id", "left_anti").select(*relationships.columns), provenance.join(ids, "article_id", "left_anti").select(*provenance.columns)
 
 
