@@ -48,3 +48,14 @@ def test_pages_that_share_a_url(spark, tmp_path):
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet'")
     got, want = entry.queries()["u5_articles"](spark, str(tmp_path)), con.sql(entry.oracle_sql()["u5_articles"])
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name, most", [("u7_reset_orphans", 8), ("u4_provenance", 50)])
+def test_lines_are_dealt_once_for_what_joins_by_article(spark, small, name, most):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan.count("Exchange hashpartitioning") <= most
